@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import tokens, topn
+from tidegraph.llm import spans, tokens, topn
 from tidegraph.sources.tables import table
 
 
@@ -37,7 +37,17 @@ def p6_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(lang, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents whose texts share a span of 256 code points or more."""
+    return spans.Shared(table(spark, d, "documents")).pairs()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document's text is found elsewhere in spans of 256 code points or more."""
+    return spans.Shared(table(spark, d, "documents")).shares()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts, p8_found, p8_shares)}
 
 _TOP = """WITH s AS (SELECT DISTINCT receipt_id, seed_node FROM (SELECT receipt_id, unnest(seed_nodes) AS seed_node FROM wave_query_receipt) WHERE seed_node IS NOT NULL AND receipt_id IS NOT NULL),
 c AS (SELECT receipt_id, seed_node, node_id, record_id, energy_score + 0.0 AS energy_score, rank FROM ranked_candidate c
@@ -46,7 +56,19 @@ c AS (SELECT receipt_id, seed_node, node_id, record_id, energy_score + 0.0 AS en
 t AS (SELECT *, row_number() OVER (PARTITION BY receipt_id, seed_node ORDER BY energy_score DESC, rank NULLS LAST, node_id NULLS LAST, record_id NULLS LAST) AS position FROM c)
 """
 
+_GRAMS = """WITH g AS (SELECT doc_id, i, hash(substr(text, i, 256)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 254)) AS i FROM documents WHERE length(text) >= 256)),
+"""
+
 SQL = {
+    "p8_found": _GRAMS
+    + """s AS (SELECT DISTINCT doc_id, h FROM g) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_shares": _GRAMS
+    + """k AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM g WHERE h IN (SELECT h FROM k)),
+n AS (SELECT doc_id, sum(CASE WHEN i - p >= 256 THEN 256 ELSE i - p END) AS c FROM c GROUP BY 1)
+SELECT d.doc_id, CAST(length(d.text) AS BIGINT) AS n_chars, CAST(coalesce(n.c, 0) AS BIGINT) AS shared_chars,
+  CASE WHEN length(d.text) > 0 THEN round(coalesce(n.c, 0) / length(d.text), 9) ELSE 0.0 END AS shared_share
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id WHERE d.text IS NOT NULL""",
     "p4_found": _TOP + "SELECT receipt_id, seed_node, node_id, record_id FROM t WHERE position <= 5",
     "p4_positions": _TOP + "SELECT receipt_id, seed_node, node_id, record_id, energy_score, rank, position FROM t WHERE position <= 5",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
