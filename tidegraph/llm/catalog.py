@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import spans, tokens, topn
+from tidegraph.llm import leaks, spans, tokens, topn
 from tidegraph.sources.tables import table
 
 
@@ -37,6 +37,17 @@ def p6_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(lang, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_tokens"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that hold 13 or more consecutive words of a benchmark item."""
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("item_id", "doc_id")
+
+
+def p7_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item that leaked: in how many pages, and the longest passage in words."""
+    got = leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return got.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_pages"), F.max("n_words").alias("longest"), F.max("item_words").alias("item_words"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents whose texts share a span of 256 code points or more."""
     return spans.Shared(table(spark, d, "documents")).pairs()
@@ -47,7 +58,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.Shared(table(spark, d, "documents")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts, p7_found, p7_leaked_items, p8_found, p8_shares)}
 
 _TOP = """WITH s AS (SELECT DISTINCT receipt_id, seed_node FROM (SELECT receipt_id, unnest(seed_nodes) AS seed_node FROM wave_query_receipt) WHERE seed_node IS NOT NULL AND receipt_id IS NOT NULL),
 c AS (SELECT receipt_id, seed_node, node_id, record_id, energy_score + 0.0 AS energy_score, rank FROM ranked_candidate c
