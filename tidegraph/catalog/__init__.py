@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidegraph.catalog import pipeline
+from tidegraph.catalog import graph, pipeline
 
-MODULES = (pipeline,)
+MODULES = (graph, pipeline)
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def content_id(*parts: Column, bits: int = 60) -> Column:
@@ -28,7 +29,7 @@ def state_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sha2(F.concat(*hexed), 256).alias("digest"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def blake2b_8(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else hashlib.blake2b(b, digest_size=8).digest())
 
@@ -36,7 +37,7 @@ def blake2b_8(data: pd.Series) -> pd.Series:
 def hmac_sha256(secret: bytes):
     """A function of a binary column: its HMAC-SHA256 in hex."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def sign(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None else hmac.new(secret, bytes(b), hashlib.sha256).hexdigest())
 
@@ -57,7 +58,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def mixed_bit(row: pd.Series, col: pd.Series) -> pd.Series:
     """The mixed rule's bit of a matrix cell."""
     x = (row.to_numpy(np.uint64) << np.uint64(32)) ^ col.to_numpy(np.uint64) ^ np.uint64(MIX_KEY)
