@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidegraph.catalog import graph, pipeline
+from tidegraph.catalog import graph, ledgers, pipeline, search, stores
 
-MODULES = (graph, pipeline)
+MODULES = (graph, search, stores, ledgers, pipeline)
 
 
 def queries() -> dict:

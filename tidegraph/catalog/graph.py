@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.catalog import sqltext as S
+from tidegraph.catalog.pipeline import STATE_SQL, p5_edges
 from tidegraph.functions.hashing import quantized
+from tidegraph.functions.relation import type_names
 from tidegraph.functions.text import edge_type_name
 from tidegraph.operators import edges as E
 from tidegraph.operators import subgraph, wave
 from tidegraph.operators.paths import relations
-from tidegraph.functions.relation import type_names
 from tidegraph.sources.graph import durable_edges, durable_records, node, order_edges, order_records, ring_graph, typed_graph
 from tidegraph.sources.tables import table
 
@@ -156,8 +157,6 @@ def unresolved_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_edges(spark: SparkSession, d: str) -> DataFrame:
     """Durable edges and those of the write-ahead log as a set, by origin."""
-    from tidegraph.catalog.pipeline import p5_edges
-
     base = durable_edges(spark, d).select("src", "dst", "edge_type", F.round(F.col("weight") * 1_000_000).cast("long").alias("weight_million"))
     overlay = p5_edges(spark, d).select("src", "dst", F.col("edge_type").cast("int").alias("edge_type"), "weight_million")
     return E.merged(base, overlay).distinct().groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight_million").alias("sum_weight"))
@@ -248,6 +247,9 @@ SQL = {
     "open_edges": f"WITH {S.order_edges()},\n{S.attenuated('e')} SELECT CASE edge_type WHEN 1 THEN 'UP_RULE' WHEN 2 THEN 'DOWN_EVIDENCE' WHEN 3 THEN 'LATERAL_SIMILAR_CASE' WHEN 4 THEN 'PROJECT_CONTEXT' WHEN 5 THEN 'CODE_PATTERN' WHEN 6 THEN 'RULE_TO_EVIDENCE' WHEN 7 THEN 'RULE_TO_CODE_PATTERN' WHEN 8 THEN 'PROJECT_TO_RECENT_SEED' ELSE 'CODE_TO_RECENT_RULE' END AS edge_type, count(*) AS n_edges FROM a GROUP BY 1",
     "induced_edges": f"WITH {S.durable_edges()}, {S.durable_records()} SELECT logical_id, src, dst, edge_type FROM e WHERE src IN (SELECT node_id FROM r WHERE node_id IS NOT NULL) AND dst IN (SELECT node_id FROM r WHERE node_id IS NOT NULL)",
     "unresolved_edges": f"WITH {S.durable_edges()}, {S.durable_records()} SELECT logical_id, src, dst FROM e WHERE src NOT IN (SELECT node_id FROM r WHERE node_id IS NOT NULL) OR dst NOT IN (SELECT node_id FROM r WHERE node_id IS NOT NULL)",
+    "merged_edges": STATE_SQL.replace("WITH w AS", f"WITH {S.durable_edges()},\nw AS", 1)
+    + """, u AS (SELECT src, dst, edge_type, CAST(round(weight * 1000000) AS BIGINT) AS weight_million FROM e UNION SELECT src, dst, CAST(edge_type AS INTEGER), weight_million FROM l WHERE kind = 'PUT_EDGE')
+SELECT edge_type, count(*) AS n_edges, CAST(sum(weight_million) AS BIGINT) AS sum_weight FROM u GROUP BY 1""",
     "order_nodes": f"WITH {S.order_edges({4, 8})},\nn AS (" + " UNION ALL ".join(f"SELECT '{t}:' || {k} AS record_id, CAST({i}000000000 + {k} AS BIGINT) AS node_id FROM {t}" for i, (t, k) in enumerate((("region", "r_regionkey"), ("nation", "n_nationkey"), ("customer", "c_custkey"), ("supplier", "s_suppkey"), ("part", "p_partkey"), ("orders", "o_orderkey")), 1))
     + "),\no AS (SELECT src AS n, count(*) AS c FROM e GROUP BY 1), i AS (SELECT dst AS n, count(*) AS c FROM e GROUP BY 1)\nSELECT n.record_id, n.node_id, coalesce(o.c, 0) AS out_degree, coalesce(i.c, 0) AS in_degree FROM n LEFT JOIN o ON n.node_id = o.n LEFT JOIN i ON n.node_id = i.n",
     "synthetic_edges": """WITH k AS (SELECT i FROM range(5000) t(i)), n AS (SELECT i FROM range(5000) t(i)),

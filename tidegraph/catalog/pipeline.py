@@ -125,7 +125,7 @@ u AS (SELECT ref_table, ref_column, ref_key, CASE WHEN known = 0 THEN 'missing'
   UNION ALL SELECT 'evidence_ref', 'provenance_id', v.evidence_id, CASE WHEN p.k IS NULL THEN 'missing' ELSE 'late' END, v.m
   FROM v LEFT JOIN p ON v.k = p.k WHERE p.k IS NULL OR p.b > v.m)
 """
-_STATE = """WITH w AS (SELECT lsn, upper(trim(frame_type)) AS kind, lower(trim(transaction_id)) AS txn, try(decode(payload)) AS t FROM wal_frame WHERE lsn IS NOT NULL),
+STATE_SQL = """WITH w AS (SELECT lsn, upper(trim(frame_type)) AS kind, lower(trim(transaction_id)) AS txn, try(decode(payload)) AS t FROM wal_frame WHERE lsn IS NOT NULL),
 f AS (SELECT lsn, kind, txn, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM w
   QUALIFY row_number() OVER (PARTITION BY lsn ORDER BY coalesce(json_valid(t), false) DESC) = 1),
 c AS (SELECT txn, min(lsn) AS commit_lsn FROM f WHERE kind = 'COMMIT' GROUP BY 1),
@@ -193,8 +193,8 @@ LEFT JOIN q ON s.src IS NOT DISTINCT FROM q.src AND s.edge_type IS NOT DISTINCT
 FROM durable_edge e WHERE (src IS NOT NULL AND dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM durable_edge t WHERE t.edge_type = 1 AND t.src = e.src AND t.dst = e.dst))
  OR (src IS NULL AND dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM durable_edge t WHERE t.edge_type = 1 AND t.dst = e.dst))
  OR (src IS NOT NULL AND dst IS NULL AND NOT EXISTS (SELECT 1 FROM durable_edge t WHERE t.edge_type = 1 AND t.src = e.src)) GROUP BY 1""",
-    "p5_found": _STATE + "SELECT entity, lsn FROM l WHERE kind LIKE 'PUT%'",
-    "p5_records": _STATE + "SELECT record_id, node_id, body, commit_lsn, lsn FROM l WHERE kind = 'PUT_RECORD'",
-    "p5_edges": _STATE + "SELECT src, dst, edge_type, weight_million, lsn FROM l WHERE kind = 'PUT_EDGE'",
-    "p5_transactions": _STATE + "SELECT txn, commit_lsn, status, n_ops FROM t",
+    "p5_found": STATE_SQL + "SELECT entity, lsn FROM l WHERE kind LIKE 'PUT%'",
+    "p5_records": STATE_SQL + "SELECT record_id, node_id, body, commit_lsn, lsn FROM l WHERE kind = 'PUT_RECORD'",
+    "p5_edges": STATE_SQL + "SELECT src, dst, edge_type, weight_million, lsn FROM l WHERE kind = 'PUT_EDGE'",
+    "p5_transactions": STATE_SQL + "SELECT txn, commit_lsn, status, n_ops FROM t",
 }

@@ -97,7 +97,7 @@ def greedy(texts: DataFrame, phrases: list[str], key: str = "doc_id", text: str
 def ungreedy(encoded: DataFrame, phrases: list[str], key: str = "doc_id") -> DataFrame:
     """(key, text) back from codes."""
     words = F.array(*[F.lit(p) for p in phrases]) if phrases else F.array().cast("array<string>")
-    piece = F.transform("codes", lambda c: F.when(c >= 0, F.get(words, c)).otherwise(F.decode(F.unhex(F.lpad(F.hex(-1 - c), 8, "0")), "utf-32be")))
+    piece = F.transform("codes", lambda c: F.when(c >= 0, F.get(words, c)).otherwise(F.decode(F.unhex(F.lpad(F.hex(-1 - c), 8, "0")), "utf-32")))
     return encoded.select(key, F.array_join(piece, "").alias("text"))
 
 

@@ -13,8 +13,9 @@ from tidegraph.operators.wave import ranked
 
 
 def relations(paths: DataFrame, column: str = "edge_types", allowed: Iterable[str] | None = None) -> DataFrame:
-    """Paths with relation, blocked, unknown_count and step_count; types outside ``allowed`` are masked first. An empty
-    path has the empty relation; a null path has nulls."""
+    """Paths with relation, blocked, unknown_count and step_count (which replace columns of those names); types outside
+    ``allowed`` are masked first. An empty path has the empty relation; a null path has nulls."""
+    paths = paths.drop("relation", "blocked", "unknown_count", "step_count")
     path = F.col(column) if allowed is None else masked(F.col(column), allowed)
     return paths.withColumn("__d", F.when(F.col(column).isNotNull(), derive(path))).select(*paths.columns, "__d.*")
 
