@@ -34,9 +34,9 @@ def invalid(vectors: DataFrame, dimension: int, vec: str = "vec") -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays in double precision, added up in the order of the parts."""
+    """Cosine of two arrays in double precision, added up in the order of the parts; null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def put(vectors: DataFrame, new: DataFrame) -> DataFrame:
