@@ -146,8 +146,10 @@ def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", vocabul
         table = token_bytes(vocabulary)
         for batch in batches:
             lists = batch.column(1).fill_null([])
-            flat = table.take(lists.flatten())
-            if flat.null_count:
+            ids = lists.flatten()
+            odd = len(ids) and (pa.compute.min(ids).as_py() < 0 or pa.compute.max(ids).as_py() >= len(table))
+            flat = table.take(ids) if not odd and not ids.null_count else None
+            if flat is None or flat.null_count:
                 raise ValueError("an id names no token of this vocabulary")
             sizes = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
             ends = np.concatenate([[0], np.cumsum(pa.compute.binary_length(flat).to_numpy(zero_copy_only=False))]).astype(np.int64)
