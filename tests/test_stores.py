@@ -73,10 +73,10 @@ def test_fusion_counts_missing_components_out(spark):
 
 
 def test_structural_vectors(spark):
-    edges = spark.createDataFrame([(1, 2, 1, 0.5), (2, 1, 1, 0.5), (1, 3, 9, 1.0)], "src long, dst long, edge_type int, weight double")
+    edges = spark.createDataFrame([(1, 2, 1, 0.5), (2, 1, 1, 0.5), (1, 3, 8, 1.0)], "src long, dst long, edge_type int, weight double")
     got = {(r[0], r[1]): r[2] for r in structural.feature_rows(edges).collect() if r[2]}
-    assert got[1, 0] == pytest.approx(math.log(3)) and got[1, 4] == 1 and got[1, 9] == 1.5 and got[1, 2] == 0.75
-    assert got[1, (131 + 17) % 8 + 40] == 0.25 and got[2, (131 + 17) % 8 + 40] == 0.25 and got[2, (131 + 17 * 9) % 8 + 40] == 0.5
+    assert got[1, 0] == pytest.approx(math.log(3)) and got[1, 4] == 1 and got[1, 9] == 0.5 and got[1, 8] == 1.0 and got[1, 2] == 0.75
+    assert got[1, (131 + 17) % 8 + 40] == 0.25 and got[2, (131 + 17) % 8 + 40] == 0.25 and got[2, (131 + 17 * 8) % 8 + 40] == 0.5
     nodes = spark.createDataFrame([(1,), (9,)], "node_id long")
     vec = {r[0]: r[1] for r in structural.vectors(structural.feature_rows(edges), nodes).collect()}
     assert abs(sum(x * x for x in vec[1]) - 1) < 1e-5
