@@ -13,6 +13,7 @@ from tidegraph.functions.text import edge_type_name
 from tidegraph.operators import edges as E
 from tidegraph.operators import subgraph, wave
 from tidegraph.operators.paths import relations
+from tidegraph.plans.lineage import cut
 from tidegraph.sources.graph import durable_edges, durable_records, node, order_edges, order_records, ring_graph, typed_graph
 from tidegraph.sources.tables import table
 
@@ -45,6 +46,12 @@ def hop_wave_per_seed(spark: SparkSession, d: str) -> DataFrame:
     return wave.hop_wave(durable_edges(spark, d), seeds, 3, 0.2, 10, (1, 2, 3, 4, 5), ["seed"])
 
 
+def hop_wave_held(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the graph held by the workers."""
+    seeds = receipt_seeds(spark, d)
+    return wave.HeldGraph(durable_edges(spark, d), (1, 2, 3, 4, 5)).hop_waves(seeds, 3, 0.2, 10)
+
+
 def hop_wave_energies(spark: SparkSession, d: str) -> DataFrame:
     """All energies of a wave over the whole order graph, two hops, all types but blocking ones."""
     rows = wave.hop_wave(order_edges(spark, d), order_seeds(spark, d), 2, 0.3, None, tuple(range(1, 10)))
@@ -177,7 +184,7 @@ def synthetic_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def floating_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """Bounded parts around receipts' seeds, best 32 nodes each, written as streams and read back."""
-    edges = durable_edges(spark, d)
+    edges = cut(durable_edges(spark, d))
     nodes = subgraph.grow(edges, receipt_seeds(spark, d), 3, 0.1, 32, (1, 2, 3, 4, 5))
     got = subgraph.decode(subgraph.export(nodes, edges))
     return got.select("root", F.size("content.nodes").alias("n_nodes"), F.size("content.edges").alias("n_edges"), F.coalesce("problem", F.lit("")).alias("problem"))
@@ -185,14 +192,14 @@ def floating_subgraph(spark: SparkSession, d: str) -> DataFrame:
 
 def wave_subgraph(spark: SparkSession, d: str) -> DataFrame:
     """Edges between all nodes that waves reach."""
-    edges = durable_edges(spark, d)
+    edges = cut(durable_edges(spark, d))
     rows = wave.best_first(edges, receipt_seeds(spark, d), 5, 0.25, None, (1, 3, 4))
     _, inner = subgraph.of_waves(rows, edges)
     return inner.select("logical_id", "src", "dst", "edge_type")
 
 
 _FUNCTIONS = (
-    hop_wave_orders, hop_wave_1, hop_wave_per_seed, hop_wave_energies, hop_wave_mask_bits, best_first_per_seed, best_first_topk, best_first_merged,
+    hop_wave_orders, hop_wave_1, hop_wave_per_seed, hop_wave_held, hop_wave_energies, hop_wave_mask_bits, best_first_per_seed, best_first_topk, best_first_merged,
     best_first_stats, wave_scope_evidence, wave_relations, saturating_recall, sum_wave, edges_both, node_degrees, csr_edges, csr_nodes, order_adjacency, open_edges,
     induced_edges, unresolved_edges, merged_edges, order_nodes, synthetic_edges, floating_subgraph, wave_subgraph,
 )
@@ -260,3 +267,4 @@ t AS (SELECT 'typed' AS graph, 4 AS edge_type, (i + 1) % 5000 AS dst FROM n UNIO
 SELECT graph, edge_type, count(*) AS n_edges, CAST(sum(dst) AS BIGINT) AS sum_dst FROM (SELECT * FROM r UNION ALL SELECT * FROM t) GROUP BY 1, 2""",
     "wave_subgraph": _FIRST + "SELECT logical_id, src, dst, edge_type FROM e WHERE src IN (SELECT node_id FROM b) AND dst IN (SELECT node_id FROM b)",
 }
+SQL["hop_wave_held"] = SQL["hop_wave_per_seed"]

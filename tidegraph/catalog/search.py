@@ -9,6 +9,7 @@ from tidegraph.catalog import sqltext as S
 from tidegraph.catalog.graph import EVERY, order_seeds
 from tidegraph.catalog.ledgers import trust_current
 from tidegraph.operators import hybrid, metrics, structural, vectors, wave
+from tidegraph.plans.lineage import cut
 from tidegraph.sources.graph import SPACE, durable_edges, node, order_edges
 from tidegraph.sources.tables import table
 
@@ -85,7 +86,7 @@ def topological_query(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str, weights: hybrid.Weights) -> DataFrame:
-    s = scope(spark, d)
+    s = cut(scope(spark, d))
     allowed = s.select(F.col("anchor").alias("query_id"), F.col("record_id").alias("id"))
     own = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
     external = vectors.search(own, own.select(F.col("vec_id").alias("query_id"), "vec"), 1 << 30, "vec_id", allowed=allowed)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.operators.wave import prepared
+
 DIMENSION = 48
 
 
@@ -19,7 +21,7 @@ def feature_rows(edges: DataFrame, waves: DataFrame | None = None) -> DataFrame:
 
     Two-edge features never list paths: inner edges are summed per node and type before they meet, so a hub costs ten rows.
     """
-    n, e = F.col, edges.select("src", "dst", "edge_type", "weight")
+    n, e = F.col, prepared(edges)
     row = lambda df, node, feature, value: df.select(F.col(node).alias("node_id"), feature.cast("int").alias("feature"), value.cast("double").alias("value"))
     out_of = e.groupBy("src").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))
     into = e.groupBy("dst").agg(F.count(F.lit(1)).alias("c"), F.sum("weight").alias("w"))

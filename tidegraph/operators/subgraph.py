@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.config import ATTENUATION, BLOCKER, KERNEL_EDGES
 from tidegraph.operators.edges import induced
-from tidegraph.operators.wave import check, reachable
+from tidegraph.operators.wave import check, prepared, reachable
 from tidegraph.plans.lineage import cut
 
 MAGIC, VERSION = "TIDEGRAPH-SUBGRAPH", 1
@@ -43,7 +43,7 @@ def grow(edges: DataFrame, roots: DataFrame, steps: int, threshold: float, top_k
     check(steps, threshold, top_k, rigor)
     mask_set, att = frozenset(mask), {i + 1: a for i, a in enumerate(ATTENUATION[profile])}
     roots = roots.select(F.col("node_id").cast("long").alias("node_id")).distinct()
-    plain = edges.filter(F.col("edge_type") != BLOCKER)
+    plain = prepared(edges.filter(F.col("edge_type") != BLOCKER))
     near = cut(reachable(plain, roots, steps, mask_set, threshold / max(rigor, 1.0), profile, 1.0).select("src", "edge_type", "dst", "weight"))
     if near.count() > KERNEL_EDGES:
         raise ValueError("the roots reach too many edges; raise the threshold or pass fewer roots a call")

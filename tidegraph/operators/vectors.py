@@ -57,6 +57,44 @@ def import_batch(imports: DataFrame, batch: DataFrame) -> DataFrame:
     return out.select("key", "digest", status.alias("status"))
 
 
+def _by_size(ids: pd.Series, vecs: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of the vectors of each dimension; null vectors fall away."""
+    sized: dict[int, tuple[list, list]] = {}
+    for i, v in zip(ids, vecs, strict=True):
+        if v is not None and len(v):
+            mine = sized.setdefault(len(v), ([], []))
+            mine[0].append(i)
+            mine[1].append(v)
+    return {n: (np.array(i), np.asarray(v, np.float64)) for n, (i, v) in sized.items()}
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up in the order of their parts."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def _nearest(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, vs: np.ndarray, k: int, same: bool) -> pd.DataFrame:
+    """The ``k`` nearest of a tile per query. A matrix product finds all that can be among them, up to its rounding; their
+    cosines are then added up in order, so that the ranking doesn't depend on how the product was blocked."""
+    nq, nv = np.sqrt(_in_order(qs, qs)), np.sqrt(_in_order(vs, vs))
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        rough = (qs @ vs.T) / (nq[:, None] * nv[None, :])
+    rough[~np.isfinite(rough)] = -np.inf
+    if not same:
+        rough[qids[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(rough, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(qids), -2.0)
+    row, col = np.nonzero(rough >= np.maximum(least - 1e-9, -2.0)[:, None])
+    exact = _in_order(qs[row], vs[col]) / (nq[row] * nv[col])
+    order = np.lexsort((ids[col], -exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return pd.DataFrame({"query_id": qids[row[keep]], "id": ids[col[keep]], "similarity": exact[keep]})
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "record_id", vec: str = "vec", same: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` vectors nearest to each query (query_id, vec) by exact cosine, similarity
     descending and id ascending. Vectors that are null, zero or of another dimension match nothing; nor do such queries.
@@ -85,38 +123,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "record
             held = spark.sparkContext.broadcast(block.toPandas())
 
             def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-                q = held.value
-                by_size = {}
-                for i, v in zip(q["query_id"], q["vec"], strict=True):
-                    by_size.setdefault(len(v), []).append((i, np.asarray(v, np.float64)))
+                sized = _by_size(held.value["query_id"], held.value["vec"])
                 for pdf in batches:
-                    sized: dict[int, list] = {}
-                    for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                        if v is not None:
-                            sized.setdefault(len(v), []).append((i, np.asarray(v, np.float64)))
-                    for size, mine in sized.items():
-                        theirs = by_size.get(size, [])
-                        ids = np.array([i for i, _ in mine], dtype=object)
-                        vs = np.array([v for _, v in mine])
-                        step = max(1, TILE // len(mine))
-                        for a in range(0, len(theirs), step):
-                            some = theirs[a : a + step]
-                            qs = np.array([v for _, v in some])
-                            dot = np.zeros((len(some), len(mine)))
-                            nq, nv = np.zeros(len(some)), np.zeros(len(mine))
-                            for d in range(size):
-                                dot += qs[:, d, None] * vs[None, :, d]
-                                nq += qs[:, d] ** 2
-                                nv += vs[:, d] ** 2
-                            with np.errstate(divide="ignore", invalid="ignore"):
-                                sim = dot / (np.sqrt(nq)[:, None] * np.sqrt(nv)[None, :])
-                            for r, (qid, _) in enumerate(some):
-                                ok = np.flatnonzero(np.isfinite(sim[r]) & (np.ones(len(mine), bool) if same else ids != qid))
-                                order = sorted(ok.tolist(), key=lambda j: (-sim[r][j], ids[j]))[:k] if len(ok) <= 4 * k else None
-                                if order is None:
-                                    least = np.partition(sim[r][ok], len(ok) - k)[len(ok) - k]
-                                    order = sorted(ok[sim[r][ok] >= least].tolist(), key=lambda j: (-sim[r][j], ids[j]))[:k]
-                                yield pd.DataFrame({"query_id": [qid] * len(order), "id": [ids[j] for j in order], "similarity": [sim[r][j] for j in order]})
+                    for size, (ids, vs) in _by_size(pdf["id"], pdf["v"]).items():
+                        if size in sized:
+                            qids, qs = sized[size]
+                            step = max(1, TILE // len(ids))
+                            for a in range(0, len(qids), step):
+                                yield _nearest(qids[a : a + step], qs[a : a + step], ids, vs, k, same)
 
             qkind = dict(queries.dtypes)["query_id"]
             found = vectors.select(F.col(vec_id).alias("id"), F.col(vec).alias("v")).mapInPandas(run, f"query_id {qkind}, id {kind}, similarity double")

@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,16 @@ def check(max_steps: int, threshold: float, top_k: int | None, rigor: float = 1.
         raise ValueError("the rigor must be positive")
 
 
+def prepared(edges: DataFrame, mask: Iterable[int] | None = None) -> DataFrame:
+    """The edges (src, dst, edge_type, weight) of the mask, computed once and kept partitioned by source, so that each hop
+    shuffles its frontier alone."""
+    usable = edges.select("src", "dst", "edge_type", "weight")
+    if mask is not None:
+        usable = usable.filter(in_mask(F.col("edge_type"), mask))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(usable.repartition(parts, "src"))
+
+
 def hop_levels(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: float, mask: Iterable[int] | None, combine: str = "max", groups: list[str] | None = None) -> DataFrame:
     """(groups, node_id, energy, hop, predecessor, edge_type) of every hop's frontier: each node once a hop.
 
@@ -66,7 +77,7 @@ def hop_wave(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: floa
     """
     check(max_steps, threshold, top_k)
     by = groups or []
-    levels = hop_levels(edges, seeds, max_steps, threshold, mask, groups=by)
+    levels = hop_levels(prepared(edges, mask) if max_steps > 1 else edges, seeds, max_steps, threshold, mask, groups=by)
     best = F.min(F.struct((-F.col("energy")).alias("down"), "hop", "predecessor", "edge_type"))
     rows = levels.groupBy(*by, "node_id").agg(best.alias("b"))
     rows = rows.select(*by, "node_id", (-F.col("b.down")).alias("energy"), "b.hop", "b.predecessor", "b.edge_type").filter(F.col("energy") >= threshold)
@@ -122,7 +133,7 @@ def sum_wave(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: floa
     """Wave in which energies that arrive at a node in one hop add up; a node keeps its best hop. Edges carry ``weight``.
     Sums are rounded to 12 places, since their order isn't fixed."""
     check(max_steps, threshold, top_k)
-    levels = hop_levels(edges, seeds, max_steps, threshold, None, "sum")
+    levels = hop_levels(prepared(edges), seeds, max_steps, threshold, None, "sum")
     rows = levels.groupBy("node_id").agg(F.round(F.max("energy"), 12).alias("energy"))
     return ranked(rows, [F.col("energy").desc(), F.col("node_id")], top_k)
 
@@ -170,7 +181,7 @@ def _kernel(adjacency: dict, seed: int, steps: int, threshold: float, mask: froz
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_steps: int, mask: Iterable[int], threshold: float, profile: str, rigor: float) -> DataFrame:
     """Edges from nodes that a wave from any seed can reach: a hop wave over attenuated edges bounds what any path carries."""
-    carried = attenuated(edges, profile, rigor)
+    carried = prepared(attenuated(edges, profile, rigor), mask)
     levels = hop_levels(carried, seeds, max(max_steps - 1, 0), threshold * (1 - 1e-9), mask)
     nodes = levels.select(F.col("node_id").alias("src")).distinct()
     return edges.join(nodes, "src", "left_semi")
@@ -193,7 +204,8 @@ def best_first(
     """
     check(max_steps, threshold, top_k, rigor)
     mask_set, att = frozenset(mask), {i + 1: a for i, a in enumerate(ATTENUATION[profile])}
-    seeds = seeds.select(F.col("node_id").cast("long").alias("node_id")).distinct()
+    seeds = cut(seeds.select(F.col("node_id").cast("long").alias("node_id")).distinct())
+    edges = prepared(edges)
     near = cut(reachable(edges, seeds, max_steps, mask_set, threshold, profile, rigor).select("src", "edge_type", "dst", "weight"))
     names = ["expanded", "masked", "thresholded", "blocked", "before_top_k", "after_top_k"]
     schema = "seed long, " + (", ".join(f"{x} long" for x in names) if stats else "node_id long, energy double, best_path array<int>, best_path_len int")
@@ -228,6 +240,74 @@ def best_first(
     return own.groupBy("seed").applyInPandas(lambda pdf: next(found(adjacency_of(pdf.dropna(subset=["dst"]).astype({"dst": "int64", "edge_type": "int64"})), [int(pdf["seed"].iloc[0])])), schema)
 
 
+class HeldGraph:
+    """A graph whose edges every worker holds in compressed rows, for very many waves at once.
+
+    The edges are counted first and must not exceed ``most``; larger graphs take ``hop_wave``, which holds nothing.
+    """
+
+    def __init__(self, edges: DataFrame, mask: Iterable[int] | None = None, most: int = KERNEL_EDGES):
+        kept = prepared(edges, mask)
+        n = kept.count()
+        if n > most:
+            raise ValueError(f"{n} edges are too many to hold in each worker")
+        pdf = kept.toPandas().sort_values(["src", "edge_type", "dst", "weight"])
+        src = pdf["src"].to_numpy(np.int64)
+        nodes, first = np.unique(src, return_index=True)
+        self._held = edges.sparkSession.sparkContext.broadcast((nodes, np.append(first, len(src)), pdf["dst"].to_numpy(np.int64), pdf["edge_type"].to_numpy(np.int32), pdf["weight"].to_numpy(np.float64)))
+
+    def hop_waves(self, seeds: DataFrame, max_steps: int, threshold: float, top_k: int) -> DataFrame:
+        """The hop wave of every distinct seed (node_id) on its own: seed, node_id, energy, hop, predecessor, edge_type, rank.
+        The same rows as ``hop_wave`` with the seed as its group."""
+        check(max_steps, threshold, top_k)
+        held = self._held
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield _waves(held.value, pdf["node_id"].to_numpy(np.int64), max_steps, threshold, top_k)
+
+        schema = "seed long, node_id long, energy double, hop int, predecessor long, edge_type int, rank long"
+        return seeds.select(F.col("node_id").cast("long").alias("node_id")).dropna().distinct().mapInPandas(run, schema)
+
+
+def _waves(graph: tuple, seeds: np.ndarray, max_steps: int, threshold: float, top_k: int) -> pd.DataFrame:
+    """Hop waves of many seeds, hop by hop over all of them: numpy sorts take the place of maps."""
+    nodes, first, dst, kind, weight = graph
+    n = len(seeds)
+    who, node, energy = np.arange(n), seeds, np.ones(n)
+    every = [(who, node, energy, np.zeros(n, np.int32), np.full(n, -1), np.zeros(n, np.int32))]
+    for hop in range(1, max_steps + 1):
+        at = np.searchsorted(nodes, node)
+        at[at == len(nodes)] = 0
+        known = nodes[at] == node if len(nodes) else np.zeros(len(node), bool)
+        who, node, energy, at = who[known], node[known], energy[known], at[known]
+        count = first[at + 1] - first[at]
+        edge = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[at], count)
+        out = np.repeat(energy, count) * weight[edge]
+        ok = out >= threshold
+        edge, out, who, prior = edge[ok], out[ok], np.repeat(who, count)[ok], np.repeat(node, count)[ok]
+        order = np.lexsort((kind[edge], prior, -out, dst[edge], who))
+        edge, out, who, prior = edge[order], out[order], who[order], prior[order]
+        best = np.ones(len(who), bool)
+        best[1:] = (who[1:] != who[:-1]) | (dst[edge[1:]] != dst[edge[:-1]])
+        who, node, energy = who[best], dst[edge[best]], out[best]
+        every.append((who, node, energy, np.full(len(who), hop, np.int32), prior[best], kind[edge[best]]))
+        if not len(who):
+            break
+    who, node, energy, hop, prior, kinds = (np.concatenate(c) for c in zip(*every, strict=True))
+    order = np.lexsort((kinds, prior, hop, -energy, node, who))
+    who, node, energy, hop, prior, kinds = (c[order] for c in (who, node, energy, hop, prior, kinds))
+    best = np.ones(len(who), bool)
+    best[1:] = (who[1:] != who[:-1]) | (node[1:] != node[:-1])
+    best &= energy >= threshold
+    who, node, energy, hop, prior, kinds = (c[best] for c in (who, node, energy, hop, prior, kinds))
+    order = np.lexsort((node, -energy, who))
+    who, node, energy, hop, prior, kinds = (c[order] for c in (who, node, energy, hop, prior, kinds))
+    rank = np.arange(len(who)) - np.searchsorted(who, who) + 1
+    keep = rank <= top_k
+    return pd.DataFrame({"seed": seeds[who[keep]], "node_id": node[keep], "energy": energy[keep], "hop": hop[keep], "predecessor": prior[keep], "edge_type": kinds[keep], "rank": rank[keep]})
+
+
 def merged_best(rows: DataFrame, top_k: int | None) -> DataFrame:
     """Waves of several seeds as one: each node once, with its greatest energy, then the shortest path, then the first seed."""
     best = F.min(F.struct((-F.col("energy")).alias("down"), "best_path_len", "seed", "best_path"))
@@ -239,10 +319,12 @@ def wave_scope(edges: DataFrame, records: DataFrame, anchors: DataFrame, max_ste
     """Evidence for each record that a wave from an anchor node reaches: anchor, record_id, node_id, energy, best_path, the
     distinct types of its edges from the anchor (direct_out) and to the anchor (direct_in). The anchor itself is left out;
     ``limit`` records per anchor."""
+    edges, anchors = prepared(edges), cut(anchors.select("node_id"))
     rows = best_first(edges, anchors, max_steps, threshold, limit + 1, mask, rigor, profile).filter("seed <> node_id")
     rows = ranked(rows, [F.col("energy").desc(), F.col("best_path_len"), F.col("node_id")], limit, ["seed"]).drop("rank")
-    out = edges.groupBy(F.col("src").alias("seed"), F.col("dst").alias("node_id")).agg(F.array_sort(F.collect_set("edge_type")).alias("direct_out"))
-    into = edges.groupBy(F.col("dst").alias("seed"), F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("edge_type")).alias("direct_in"))
+    at = lambda c: edges.join(anchors.select(F.col("node_id").alias(c)).distinct(), c, "left_semi")
+    out = at("src").groupBy(F.col("src").alias("seed"), F.col("dst").alias("node_id")).agg(F.array_sort(F.collect_set("edge_type")).alias("direct_out"))
+    into = at("dst").groupBy(F.col("dst").alias("seed"), F.col("src").alias("node_id")).agg(F.array_sort(F.collect_set("edge_type")).alias("direct_in"))
     rows = rows.join(out, ["seed", "node_id"], "left").join(into, ["seed", "node_id"], "left").join(records.select("record_id", "node_id"), "node_id")
     none = F.array().cast("array<int>")
     return rows.select(F.col("seed").alias("anchor"), "record_id", "node_id", "energy", "best_path", F.coalesce("direct_out", none).alias("direct_out"), F.coalesce("direct_in", none).alias("direct_in"))
