@@ -8,6 +8,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.plans.lineage import cut
 from tidegraph.plans.skew import salted_join
 
 
@@ -71,12 +72,14 @@ def unresolved(refs: DataFrame, spans: DataFrame, spread: Column) -> DataFrame:
     ``missing`` if the key has no span, ``deleted`` if one began earlier, ``late`` if all begin later.
 
     Null keys refer to nothing. The anti-join runs first, on key and moment, with hot keys split; only its few
-    survivors meet the first begin of their key.
+    survivors meet the first begin of their key. Both sides are computed once and kept, as both joins and the counts of
+    their hot keys read them.
     """
+    refs, spans = cut(refs), cut(spans)
     live = spans.select("key", "begin", "end").filter("begin < end")
     out = salted_join(refs.filter("key IS NOT NULL"), live, ["key"], "left_anti", spread, (F.col("begin") <= F.col("moment")) & (F.col("moment") < F.col("end")))
     first = spans.groupBy("key").agg(F.min(F.when(F.col("begin") < F.col("end"), F.col("begin"))).alias("first_begin"), F.lit(True).alias("known"))
-    out = salted_join(out, first, ["key"], "left", spread)
+    out = salted_join(cut(out), first, ["key"], "left", spread)
     reason = F.when(F.col("known").isNull(), "missing").when(F.col("first_begin") <= F.col("moment"), "deleted").otherwise("late")
     return out.withColumn("reason", reason).drop("known", "first_begin")
 
