@@ -174,25 +174,29 @@ def longest_run(page: Page, item: Item, places: list[tuple[int, int]]) -> int:
     return best
 
 
-def _verify(least: int):
+def _verify(least: int, held=None):
+    """``held``: a broadcast of item texts by id, where the rows don't bring them."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Item] = {}
+        known: dict = {}
         for batch in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for doc, text, met in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "met")], strict=True):
                 page = Page(text)
                 for m in met:
-                    item = known.get(m["item"])
-                    if item is None:
-                        if len(known) > 5_000:
+                    name = m["item_id"] if held else m["item"]
+                    items = known.get(name)
+                    if items is None:
+                        if len(known) > BROADCAST_ITEMS:
                             known.clear()
-                        item = known[m["item"]] = Item(m["item"])
-                    if len(item.words) < least:
-                        continue
-                    words = longest_run(page, item, [(p["at"], p["item_at"]) for p in m["places"]])
-                    if words >= least:
-                        for column, v in zip(out, (m["item_id"], doc, words, len(item.words)), strict=True):
-                            column.append(v)
+                        items = known[name] = [Item(t) for t in (held.value[name] if held else [name])]
+                    for item in items:
+                        if len(item.words) < least:
+                            continue
+                        words = longest_run(page, item, [(p["at"], p["item_at"]) for p in m["places"]])
+                        if words >= least:
+                            for column, v in zip(out, (m["item_id"], doc, words, len(item.words)), strict=True):
+                                column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], names=["item_id", "doc_id", "n_words", "item_words"])
 
     return run
@@ -213,11 +217,17 @@ def leaks(documents: DataFrame, tests: DataFrame, doc_id: str = "doc_id", text:
     else:
         hits = salted_join(ours, theirs, ["print"], "inner", F.struct("doc_id", "at"))
     met = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "item_at")).alias("places"))
+    held = None
     if items.count() <= BROADCAST_ITEMS:
-        met = met.join(F.broadcast(items), "item_id")
+        texts: dict[int, list[str]] = {}
+        for i, t in items.collect():  # counted
+            texts.setdefault(i, []).append(t)
+        held = documents.sparkSession.sparkContext.broadcast(texts)
+        brought = ["item_id", "places"]
     else:
         met = salted_join(met, items, ["item_id"], "inner", F.col("doc_id"))
-    met = met.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "places")).alias("met"))
+        brought = ["item_id", "item", "places"]
+    met = met.groupBy("doc_id").agg(F.collect_list(F.struct(*brought)).alias("met"))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text IS NOT NULL")
-    found = met.join(docs, "doc_id").mapInArrow(_verify(words), "item_id long, doc_id long, n_words int, item_words int")
+    found = met.join(docs, "doc_id").mapInArrow(_verify(words, held), "item_id long, doc_id long, n_words int, item_words int")
     return found.groupBy("item_id", "doc_id").agg(F.max("n_words").alias("n_words"), F.max("item_words").alias("item_words"))
