@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegraph.plans.lineage import cut
 from tidegraph.plans.skew import salted_join
 
 
@@ -49,6 +50,7 @@ def whole_frames(wal: DataFrame) -> DataFrame:
 
     Of the copies of a frame, one with a whole payload (a JSON object, or null where none is needed) counts. Frames
     without lsn have no place in the order and are dropped. Numbers may be strings; members may stand in any order.
+    Parsed once and kept, as transactions and operations both read the frames.
     """
     text = F.col("payload").cast("string")
     rows = wal.select("lsn", F.upper(F.trim("frame_type")).alias("kind"), F.lower(F.trim("transaction_id")).alias("txn"), text.alias("text"))
@@ -57,7 +59,7 @@ def whole_frames(wal: DataFrame) -> DataFrame:
     j = F.from_json("f.text", FIELDS, {"columnNameOfCorruptRecord": "broken"})
     out = best.select("lsn", "f.kind", "f.txn", "f.is_whole", F.when(F.col("f.is_whole"), j).alias("j"))
     number = lambda c: F.expr(f"try_cast(trim(j.{c}) AS bigint)").alias(c)
-    return out.select("lsn", "kind", "txn", "is_whole", "j.record_id", "j.body", *[number(c) for c in ("node_id", "src", "dst", "edge_type", "weight_million", "op_count")])
+    return cut(out.select("lsn", "kind", "txn", "is_whole", "j.record_id", "j.body", *[number(c) for c in ("node_id", "src", "dst", "edge_type", "weight_million", "op_count")]))
 
 
 OPERATIONS = ("PUT_RECORD", "PUT_EDGE", "DELETE_RECORD", "DELETE_EDGE")
