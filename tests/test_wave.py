@@ -141,3 +141,39 @@ def test_empty_graph(spark):
     assert [tuple(r)[:2] for r in wave.hop_wave(none, seeds(spark, 4), 3, 0.1, 5).collect()] == [(4, 1.0)]
     assert [r["node_id"] for r in wave.best_first(none, seeds(spark, 4), 3, 0.1, 5, (1,)).collect()] == [4]
     assert wave.best_first(none, seeds(spark), 3, 0.1, 5, (1,)).count() == 0
+
+
+def brute_hops(data, seed, steps, theta):
+    front, best = {seed: (1.0, -1, 0)}, {seed: (-1.0, 0, -1, 0)}
+    for hop in range(1, steps + 1):
+        nxt = {}
+        for s, d, t, w in data:
+            if s in front and front[s][0] * w >= theta:
+                x = (-(front[s][0] * w), s, t)
+                nxt[d] = min(nxt.get(d, x), x)
+        front = {d: (-e, s, t) for d, (e, s, t) in nxt.items()}
+        for d, (e, s, t) in nxt.items():
+            best[d] = min(best.get(d, (e, hop, s, t)), (e, hop, s, t))
+    return {d: (-e, h, s, t) for d, (e, h, s, t) in best.items() if -e >= theta}
+
+
+def test_hop_waves_equal_brute_force_however_edges_are_kept(spark, graph, monkeypatch):
+    data, df = graph
+    want = {s: brute_hops(data, s, 5, 0.05) for s in (0, 3, 99)}
+    grouped = seeds(spark, 0, 3, 99).withColumn("seed", F.col("node_id"))
+
+    def rows(out):
+        got: dict = {}
+        for r in out.collect():
+            got.setdefault(r["seed"], {})[r["node_id"]] = (r["energy"], r["hop"], r["predecessor"], r["edge_type"])
+        return got
+
+    assert rows(wave.hop_wave(df, grouped, 5, 0.05, None, None, ["seed"])) == want
+    monkeypatch.setattr(wave, "heavy_keys", lambda some, keys: some.select(*keys).distinct())
+    assert rows(wave.hop_wave(df, grouped, 5, 0.05, None, None, ["seed"])) == want
+    held = wave.HeldGraph(df)
+    assert rows(held.hop_waves(grouped, 5, 0.05, 1000)) == want
+    top = sorted(map(tuple, held.hop_waves(grouped, 2, 0.05, 3).collect()))
+    assert top == sorted(map(tuple, wave.hop_wave(df, grouped, 2, 0.05, 3, None, ["seed"]).collect()))
+    with pytest.raises(ValueError):
+        wave.HeldGraph(df, most=3)

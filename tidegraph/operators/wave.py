@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -13,10 +14,13 @@ from pyspark.sql import functions as F
 
 from tidegraph.config import ATTENUATION, BLOCKER, KERNEL_EDGES, MAX_STEPS
 from tidegraph.operators.edges import in_mask
-from tidegraph.plans.lineage import cut
+from tidegraph.plans.lineage import cut, cut_by
+from tidegraph.plans.skew import SALTS, heavy_keys
 
 #: Hops after which lineage is cut.
 CUT_EVERY = 4
+#: From so many hops on, laying the edges out by source once costs less than shuffling them with every hop.
+BY_SOURCE_FROM = 4
 
 
 def check(max_steps: int, threshold: float, top_k: int | None, rigor: float = 1.0) -> None:
@@ -31,33 +35,64 @@ def check(max_steps: int, threshold: float, top_k: int | None, rigor: float = 1.
 
 
 def prepared(edges: DataFrame, mask: Iterable[int] | None = None) -> DataFrame:
-    """The edges (src, dst, edge_type, weight) of the mask, computed once and kept partitioned by source, so that each hop
-    shuffles its frontier alone."""
+    """The edges (src, dst, edge_type, weight) of the mask, computed once and kept."""
     usable = edges.select("src", "dst", "edge_type", "weight")
-    if mask is not None:
-        usable = usable.filter(in_mask(F.col("edge_type"), mask))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(usable.repartition(parts, "src"))
+    return cut(usable if mask is None else usable.filter(in_mask(F.col("edge_type"), mask)))
 
 
-def hop_levels(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: float, mask: Iterable[int] | None, combine: str = "max", groups: list[str] | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class BySource:
+    """Edges kept partitioned by source and salt, so that each hop shuffles its frontier alone. Edges of heavy sources, of
+    which there are never many, have a salt by their target; a frontier row of such a source goes to each of its parts."""
+
+    edges: DataFrame
+    heavy: DataFrame
+
+    @staticmethod
+    def of(edges: DataFrame, mask: Iterable[int] | None = None) -> BySource:
+        usable = prepared(edges, mask)
+        heavy = cut(heavy_keys(usable, ["src"]).withColumn("heavy", F.lit(True)))
+        salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        marked = usable.join(F.broadcast(heavy), "src", "left").select("src", salt.alias("salt"), "dst", "edge_type", "weight")
+        return BySource(cut_by(marked, "src", "salt"), heavy)
+
+    def join(self, front: DataFrame) -> DataFrame:
+        """Rows of ``front`` (with src) along their edges."""
+        parts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        wide = front.join(F.broadcast(self.heavy), "src", "left").withColumn("salt", F.explode(parts)).drop("heavy")
+        return wide.join(self.edges, ["src", "salt"]).drop("salt")
+
+
+def laid_out(edges: DataFrame, max_steps: int, mask: Iterable[int] | None = None) -> DataFrame | BySource:
+    """The edges as so many hops read them best: as they are, kept, or kept by source."""
+    if max_steps < 2:
+        return edges if mask is None else edges.filter(in_mask(F.col("edge_type"), mask))
+    return BySource.of(edges, mask) if max_steps >= BY_SOURCE_FROM else prepared(edges, mask)
+
+
+def hop_levels(edges: DataFrame | BySource, seeds: DataFrame, max_steps: int, threshold: float, mask: Iterable[int] | None, combine: str = "max", groups: list[str] | None = None) -> DataFrame:
     """(groups, node_id, energy, hop, predecessor, edge_type) of every hop's frontier: each node once a hop.
 
     Per hop, energies go along the edges, those under the threshold are dropped, and a node keeps the greatest
     (``combine`` max, with the smallest source and edge type of equals as its predecessor) or the sum. The frontier of a
     hop is what arrived in it, even if less than before. Frontiers are aggregated on the map side before the next join;
-    small ones are broadcast by the optimizer, hot sources are split by adaptive execution.
+    small ones are broadcast by the optimizer. Hot sources are split, by ``BySource`` or else by adaptive execution. A mask
+    holds for plain edges; those by source have had theirs.
     """
     by = groups or []
-    usable = edges.select("src", "dst", "edge_type", "weight")
-    if mask is not None:
-        usable = usable.filter(in_mask(F.col("edge_type"), mask))
+    if isinstance(edges, BySource):
+        along = edges.join
+    else:
+        usable = edges.select("src", "dst", "edge_type", "weight")
+        if mask is not None:
+            usable = usable.filter(in_mask(F.col("edge_type"), mask))
+        along = lambda front: front.join(usable, "src")
     front = seeds.select(*by, F.col("node_id").cast("long").alias("node_id")).distinct()
     front = front.select(*by, "node_id", F.lit(1.0).alias("energy"), F.lit(0).alias("hop"), F.lit(-1).cast("long").alias("predecessor"), F.lit(0).alias("edge_type"))
     levels = [front]
     for hop in range(1, max_steps + 1):
         out = (F.col("energy") * F.col("weight")).alias("out")
-        step = front.select(*by, F.col("node_id").alias("src"), "energy").join(usable, "src").select(*by, "src", "dst", "edge_type", out)
+        step = along(front.select(*by, F.col("node_id").alias("src"), "energy")).select(*by, "src", "dst", "edge_type", out)
         step = step.filter(F.col("out") >= threshold)
         best = F.min(F.struct((-F.col("out")).alias("down"), F.col("src"), F.col("edge_type")))
         energy = F.sum("out") if combine == "sum" else -F.col("b.down")
@@ -77,7 +112,7 @@ def hop_wave(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: floa
     """
     check(max_steps, threshold, top_k)
     by = groups or []
-    levels = hop_levels(prepared(edges, mask) if max_steps > 1 else edges, seeds, max_steps, threshold, mask, groups=by)
+    levels = hop_levels(laid_out(edges, max_steps, mask), seeds, max_steps, threshold, mask, groups=by)
     best = F.min(F.struct((-F.col("energy")).alias("down"), "hop", "predecessor", "edge_type"))
     rows = levels.groupBy(*by, "node_id").agg(best.alias("b"))
     rows = rows.select(*by, "node_id", (-F.col("b.down")).alias("energy"), "b.hop", "b.predecessor", "b.edge_type").filter(F.col("energy") >= threshold)
@@ -133,7 +168,7 @@ def sum_wave(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: floa
     """Wave in which energies that arrive at a node in one hop add up; a node keeps its best hop. Edges carry ``weight``.
     Sums are rounded to 12 places, since their order isn't fixed."""
     check(max_steps, threshold, top_k)
-    levels = hop_levels(prepared(edges), seeds, max_steps, threshold, None, "sum")
+    levels = hop_levels(laid_out(edges, max_steps), seeds, max_steps, threshold, None, "sum")
     rows = levels.groupBy("node_id").agg(F.round(F.max("energy"), 12).alias("energy"))
     return ranked(rows, [F.col("energy").desc(), F.col("node_id")], top_k)
 
@@ -181,7 +216,7 @@ def _kernel(adjacency: dict, seed: int, steps: int, threshold: float, mask: froz
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_steps: int, mask: Iterable[int], threshold: float, profile: str, rigor: float) -> DataFrame:
     """Edges from nodes that a wave from any seed can reach: a hop wave over attenuated edges bounds what any path carries."""
-    carried = prepared(attenuated(edges, profile, rigor), mask)
+    carried = laid_out(attenuated(edges, profile, rigor), max(max_steps - 1, 0), mask)
     levels = hop_levels(carried, seeds, max(max_steps - 1, 0), threshold * (1 - 1e-9), mask)
     nodes = levels.select(F.col("node_id").alias("src")).distinct()
     return edges.join(nodes, "src", "left_semi")

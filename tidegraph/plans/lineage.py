@@ -30,3 +30,18 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; later plans start from the files, not from the lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_by(df: DataFrame, *keys: str) -> DataFrame:
+    """``cut`` with the rows hash-partitioned by ``keys``, which later joins and groupings on them find and don't shuffle.
+
+    A plan that adapts at run time doesn't tell how its result is partitioned, so this one doesn't adapt.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        spark.conf.set(name, was)
