@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidegraph.catalog import graph, ledgers, pipeline, search, stores
+from tidegraph.catalog import graph, imports, ledgers, pipeline, search, stores
 
-MODULES = (graph, search, stores, ledgers, pipeline)
+MODULES = (graph, search, stores, ledgers, imports, pipeline)
 
 
 def queries() -> dict:

@@ -146,7 +146,7 @@ z AS (SELECT *, CASE WHEN kind LIKE '%RECORD' THEN 'r:' || record_id
 l AS (SELECT * FROM z WHERE entity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity ORDER BY commit_lsn DESC, lsn DESC) = 1)
 """
 
-_TREE = """WITH RECURSIVE ev AS (SELECT nullif(lower(trim(provenance_id, E' \\t\\n\\r')), '') AS node, parent_provenance_ids AS ps FROM provenance_event),
+TREE_SQL = """WITH RECURSIVE ev AS (SELECT nullif(lower(trim(provenance_id, E' \\t\\n\\r')), '') AS node, parent_provenance_ids AS ps FROM provenance_event),
 n AS (SELECT DISTINCT node FROM ev WHERE node IS NOT NULL),
 l AS (SELECT DISTINCT node, p AS parent FROM (SELECT node, lower(trim(unnest(ps), E' \\t\\n\\r')) AS p FROM ev WHERE node IS NOT NULL) WHERE p IN (SELECT node FROM n)),
 reach(a, b) AS (SELECT node, parent FROM l UNION SELECT r.a, l.parent FROM reach r JOIN l ON r.b = l.node),
@@ -155,18 +155,18 @@ g AS (SELECT * FROM l WHERE node NOT IN (SELECT node FROM cyc) AND parent NOT IN
 """
 
 SQL = {
-    "p2_found": _TREE
+    "p2_found": TREE_SQL
     + """tr(node, root_id, depth) AS (SELECT node, node, 0 FROM n WHERE node NOT IN (SELECT node FROM l)
   UNION SELECT g.node, t.root_id, t.depth + 1 FROM tr t JOIN g ON g.parent = t.node)
 SELECT node AS provenance_id, root_id, CAST(min(depth) AS BIGINT) AS depth FROM tr GROUP BY 1, 2 HAVING min(depth) >= 12
 UNION ALL SELECT node, root_id, -1 FROM cyc""",
-    "p2_descendants": _TREE
+    "p2_descendants": TREE_SQL
     + """dn(a, b, k) AS (SELECT parent, node, 1 FROM g UNION SELECT d.a, g.node, d.k + 1 FROM dn d JOIN g ON d.b = g.parent)
 SELECT a AS provenance_id, b AS descendant, CAST(min(k) AS BIGINT) AS distance FROM dn GROUP BY 1, 2""",
-    "p2_subtree_sizes": _TREE
+    "p2_subtree_sizes": TREE_SQL
     + """dn(a, b, k) AS (SELECT parent, node, 1 FROM g UNION SELECT d.a, g.node, d.k + 1 FROM dn d JOIN g ON d.b = g.parent)
 SELECT a AS provenance_id, count(*) AS n_descendants, CAST(max(k) AS BIGINT) AS height FROM (SELECT a, b, min(k) AS k FROM dn GROUP BY 1, 2) GROUP BY 1""",
-    "p2_paths": _TREE
+    "p2_paths": TREE_SQL
     + """tr(node, root_id, depth, path) AS (SELECT node, node, 0, node FROM n WHERE node NOT IN (SELECT node FROM l)
   UNION SELECT node, root_id, depth, path FROM (SELECT g.node, t.root_id, t.depth + 1 AS depth, min(t.path || '>' || g.node) AS path
     FROM tr t JOIN g ON g.parent = t.node GROUP BY 1, 2, 3)),
