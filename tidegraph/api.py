@@ -17,6 +17,7 @@ KEYS = ["kind", "record_id", "src", "dst", "edge_type", "weight_million"]
 
 class Database:
     """Batches of changes are appended with a commit number; the state is the fold of a checkpoint and the changes after it.
+    ``folder`` must be one that the driver and all executors share.
 
     One writer at a time: numbers come from the log when a batch is committed. Parquet's committer makes a batch visible
     as a whole. A change is (op PUT or DELETE, kind RECORD or EDGE, and the fields of its kind).

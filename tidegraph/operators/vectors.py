@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidegraph.config import MAX_DIMENSION
 from tidegraph.functions.hashing import content_id
+from tidegraph.operators.wave import ranked
 
 #: Query vectors held by a task at once; more are done in further passes.
 QUERY_BLOCK = 4_096
@@ -114,12 +115,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "record
     else:
         spark = vectors.sparkSession
         kind = dict(vectors.dtypes)[vec_id]
-        many = queries.select("query_id", "vec").filter("vec IS NOT NULL").orderBy("query_id")
+        many = queries.select("query_id", "vec").filter("vec IS NOT NULL")
         n = many.count()
         rows = None
-        numbered = many.rdd.zipWithIndex().toDF() if n > QUERY_BLOCK else None
+        numbered = ranked(many, [F.col("query_id")], None) if n > QUERY_BLOCK else None
         for at in range(0, max(n, 1), QUERY_BLOCK):
-            block = many if numbered is None else numbered.filter(F.col("_2").between(at, at + QUERY_BLOCK - 1)).select("_1.*")
+            block = many if numbered is None else numbered.filter(F.col("rank").between(at + 1, at + QUERY_BLOCK)).drop("rank")
             held = spark.sparkContext.broadcast(block.toPandas())
 
             def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
