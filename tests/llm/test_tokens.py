@@ -43,6 +43,8 @@ def test_blocks_hold_every_text_once():
 
 def test_empty_table_and_foreign_ids(spark):
     assert tokens.encode(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert sorted((r[0], list(r[1])) for r in tokens.encode(blank).collect()) == [(1, []), (2, [])]
     with pytest.raises(Exception, match="names no token"):
         tokens.decode(spark.createDataFrame([(1, [99_999])], "doc_id long, ids array<int>")).collect()
     assert [r["text"] for r in tokens.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()] == [""]

@@ -35,7 +35,7 @@ SHAPES = {
     "e": "c", "r": "v", "y": "v", "a": "o", "0": "o", "f": "t", "n": "u", "l": "i", "1": "i", "j": "i", "g": "q", "b": "h", "8": "h", "5": "s",
     "m": "vu", "d": "ci", "k": "ic", "w": "vv",
 }
-LINE_ENDS = re.compile("\r\n|[\r\n\v\f\x85  ]")
+LINE_ENDS = re.compile("\r\n|[\r\n\v\f\x85\u2028\u2029]")
 
 
 class Folding(dict):
