@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
@@ -18,7 +19,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return have.get()
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tidegraph-checkpoint-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
