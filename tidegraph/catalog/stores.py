@@ -308,5 +308,6 @@ SELECT file, source_layer, count(*) AS n_records, CAST(sum(length(value)) AS BIG
     "line_rebuild": "SELECT doc_id, text FROM documents WHERE text <> ''",
     "pack_choice": f"WITH {_PACK} SELECT doc_id, mode, bytes, raw_bytes FROM k",
     "compression_claims": f"WITH {_PACK}, t AS (SELECT lower(d.lang) AS lang, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(bytes) AS BIGINT) AS compact_bytes FROM k JOIN documents d ON k.doc_id = d.doc_id GROUP BY 1) SELECT *, round(raw_bytes / compact_bytes, 9) AS ratio, compact_bytes < raw_bytes AS claim FROM t",
+    "bit_reads": "SELECT CAST(sum(get_bit(CAST(payload AS BIT), 7)) AS BIGINT) AS n_0, CAST(sum(get_bit(CAST(payload AS BIT), 0)) AS BIGINT) AS n_7, CAST(sum(get_bit(CAST(payload AS BIT), 11)) AS BIGINT) AS n_12 FROM durable_record WHERE octet_length(payload) >= 2",
     "greedy_round_trip": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
 }
