@@ -67,3 +67,12 @@ def test_folding():
     assert leaks.fold("Große ﬁſh, 𝔊 ro-\nom") == leaks.fold("grosse fish room")
     assert leaks.fold("müde") == leaks.fold("miide") and leaks.fold("clown") == leaks.fold("down")
     assert leaks.fold("­»■ \t—") == ""
+
+
+def test_a_run_after_a_garbled_word_of_equal_length_is_found(spark):
+    words = [f"{w}{x}" for w in WORDS[:20] for x in ("stone", "keeper", "field")]
+    page = [*words[:5], "q" * len(leaks.fold(words[5])), *words[6:]]
+    docs = spark.createDataFrame([(1, " ".join(page)), (2, " ".join(page[:18]))], "doc_id long, text string")
+    got = leaks.leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
+    assert [tuple(r) for r in got.filter("doc_id = 1").collect()] == [(7, 1, 54, 60)]
+    assert got.filter("doc_id = 2").count() == 0

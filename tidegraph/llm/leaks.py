@@ -106,6 +106,16 @@ class Page:
         return self._back
 
 
+def agreeing(page: str, i: int, item: str, o: int) -> int:
+    """How many letters in a row agree from the two places on."""
+    n = most = min(len(page) - i, len(item) - o)
+    while n and page[i : i + n] != item[o : o + n]:
+        n //= 2
+    while n < most and page[i + n] == item[o + n]:
+        n += 1
+    return n
+
+
 def extend(page: str, starts: list[int], i: int, item: str, o: int, skip: int = INSERTED_LINES) -> tuple[int, list[int]]:
     """How far ``item`` from ``o`` on follows ``page`` from ``i`` on: the end in the item and the places of slips in it."""
     slips: list[int] = []
@@ -154,13 +164,16 @@ class Item:
 
 
 def longest_run(page: Page, item: Item, places: list[tuple[int, int]]) -> int:
-    """The most consecutive words of the item that the page holds, grown from the places (page, item) of fingerprints."""
-    best, done = 0, set()
+    """The most consecutive words of the item that the page holds, grown from the places (page, item) of fingerprints.
+
+    A place is left out only within the letters that agree in a row around an earlier one: it would grow to the same ends.
+    """
+    best, done = 0, {}
     n, m = len(page.text), len(item.text)
     for i, o in sorted(places):
-        if i - o in done or page.text[i : i + 4] != item.text[o : o + 4]:
+        if o < done.get(i - o, 0) or page.text[i : i + 4] != item.text[o : o + 4]:
             continue
-        done.add(i - o)
+        done[i - o] = o + agreeing(page.text, i, item.text, o)
         end, slips = extend(page.text, page.starts, i, item.text, o)
         back, starts = page.backward()
         begin, others = extend(back, starts, n - i, item.back, m - o)
