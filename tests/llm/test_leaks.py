@@ -76,3 +76,13 @@ def test_a_run_after_a_garbled_word_of_equal_length_is_found(spark):
     got = leaks.leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id long, text string"))
     assert [tuple(r) for r in got.filter("doc_id = 1").collect()] == [(7, 1, 54, 60)]
     assert got.filter("doc_id = 2").count() == 0
+
+
+def test_lines_of_eighteen_letters_between_lines_of_another_column_are_enough(spark):
+    r = random.Random(5)
+    pick = lambda n: ["".join(r.sample("covtuqhspzx", 9)) for _ in range(n)]
+    words, other = pick(14), pick(40)
+    lines = [x for k in range(7) for x in (" ".join(words[2 * k : 2 * k + 2]), " ".join(other[3 * k : 3 * k + 3]))]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:12]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [tuple(x) for x in leaks.leaks(docs, tests).collect()] == [(7, 1, 14, 14)]

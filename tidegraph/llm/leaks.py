@@ -23,7 +23,7 @@ from tidegraph.llm.winnow import fingerprints
 from tidegraph.plans.lineage import cut
 from tidegraph.plans.skew import salted_join
 
-GRAM, WINDOW = 20, 7
+GRAM, WINDOW = 12, 7
 #: Words in a row that make a leak.
 WORDS = 13
 #: Lines of another text that may stand between two lines of a passage.
