@@ -86,3 +86,13 @@ def test_lines_of_eighteen_letters_between_lines_of_another_column_are_enough(sp
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:12]))], "doc_id long, text string")
     tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
     assert [tuple(x) for x in leaks.leaks(docs, tests).collect()] == [(7, 1, 14, 14)]
+
+
+def test_a_passage_goes_on_after_any_number_of_inserted_lines(spark):
+    r = random.Random(6)
+    pick = lambda n: ["".join(r.sample("covtuqhspzx", 9)) for _ in range(n)]
+    words = pick(16)
+    page = [" ".join(words[:8]), *[" ".join(pick(4)) for _ in range(40)], " ".join(words[8:])]
+    docs = spark.createDataFrame([(1, "\n".join(page)), (2, "\n".join(page[:-1]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [tuple(x) for x in leaks.leaks(docs, tests).collect()] == [(7, 1, 16, 16)]

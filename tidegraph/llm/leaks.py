@@ -26,8 +26,8 @@ from tidegraph.plans.skew import salted_join
 GRAM, WINDOW = 12, 7
 #: Words in a row that make a leak.
 WORDS = 13
-#: Lines of another text that may stand between two lines of a passage.
-INSERTED_LINES = 14
+#: Inserted lines up to which a continuing line is preferred to a slip; later lines are looked for where no slip fits.
+NEAR_LINES = 14
 #: Fingerprints and texts of the tests are broadcast up to these counts and shuffled beyond.
 BROADCAST_PRINTS, BROADCAST_ITEMS = 1_000_000, 20_000
 #: Shapes that scanning takes for each other, each written as one of them (letter by letter).
@@ -97,15 +97,25 @@ class Page:
         ends = np.cumsum([len(x) for x in lines]).tolist()
         n = ends[-1] if ends else 0
         self.starts = [0, *ends[:-1]] if ends else []
-        self._back: tuple[str, list[int]] | None = None
+        self.heads = line_heads(self.text, self.starts)
+        self._back: tuple[str, list[int], dict[str, list[int]]] | None = None
         self._ends = [n - e for e in reversed(ends)]
 
-    def backward(self) -> tuple[str, list[int]]:
+    def backward(self) -> tuple[str, list[int], dict[str, list[int]]]:
         if self._back is None:
-            self._back = self.text[::-1], self._ends
+            text = self.text[::-1]
+            self._back = text, self._ends, line_heads(text, self._ends)
         return self._back
 
 
+def line_heads(text: str, starts: list[int]) -> dict[str, list[int]]:
+    """The begins of lines by their first four letters."""
+    out: dict[str, list[int]] = {}
+    for s in starts:
+        out.setdefault(text[s : s + 4], []).append(s)
+    return out
+
+
 def agreeing(page: str, i: int, item: str, o: int) -> int:
     """How many letters in a row agree from the two places on."""
     n = most = min(len(page) - i, len(item) - o)
@@ -116,8 +126,9 @@ def agreeing(page: str, i: int, item: str, o: int) -> int:
     return n
 
 
-def extend(page: str, starts: list[int], i: int, item: str, o: int, skip: int = INSERTED_LINES) -> tuple[int, list[int]]:
-    """How far ``item`` from ``o`` on follows ``page`` from ``i`` on: the end in the item and the places of slips in it."""
+def extend(page: str, starts: list[int], heads: dict[str, list[int]], i: int, item: str, o: int, near: int = NEAR_LINES) -> tuple[int, list[int]]:
+    """How far ``item`` from ``o`` on follows ``page`` from ``i`` on: the end in the item and the places of slips in it.
+    Where neither one of the ``near`` next lines nor a slip goes on, the later line that agrees longest does."""
     slips: list[int] = []
     n, m = len(page), len(item)
     while i < n and o < m:
@@ -131,7 +142,7 @@ def extend(page: str, starts: list[int], i: int, item: str, o: int, skip: int =
         back = o - (i - starts[line])
         if back >= 0:
             need = item[back : back + LINE_AGREE]
-            on = next((s for s in starts[line + 1 : line + 1 + skip] if len(need) >= 4 and page.startswith(need, s)), None)
+            on = next((s for s in starts[line + 1 : line + 1 + near] if len(need) >= 4 and page.startswith(need, s)), None)
             if on is not None:
                 slips = [s for s in slips if s < back]
                 i, o = on, back
@@ -143,7 +154,13 @@ def extend(page: str, starts: list[int], i: int, item: str, o: int, skip: int =
                 i, o = i + di, o + do
                 break
         else:
-            break
+            need = item[back : back + LINE_AGREE] if back >= 0 else ""
+            later = heads.get(need[:4], ()) if len(need) >= 4 else ()
+            reach, on = max(((agreeing(page, s, item, back), -s) for s in later if s > starts[line]), default=(0, 0))
+            if reach < len(need) or reach <= o - back:
+                break
+            slips = [s for s in slips if s < back]
+            i, o = -on, back
     return o, slips
 
 
@@ -174,9 +191,9 @@ def longest_run(page: Page, item: Item, places: list[tuple[int, int]]) -> int:
         if o < done.get(i - o, 0) or page.text[i : i + 4] != item.text[o : o + 4]:
             continue
         done[i - o] = o + agreeing(page.text, i, item.text, o)
-        end, slips = extend(page.text, page.starts, i, item.text, o)
-        back, starts = page.backward()
-        begin, others = extend(back, starts, n - i, item.back, m - o)
+        end, slips = extend(page.text, page.starts, page.heads, i, item.text, o)
+        back, starts, heads = page.backward()
+        begin, others = extend(back, starts, heads, n - i, item.back, m - o)
         begin = m - begin
         slips += [m - 1 - s for s in others]
         run = 0
