@@ -177,3 +177,11 @@ def test_hop_waves_equal_brute_force_however_edges_are_kept(spark, graph, monkey
     assert top == sorted(map(tuple, wave.hop_wave(df, grouped, 2, 0.05, 3, None, ["seed"]).collect()))
     with pytest.raises(ValueError):
         wave.HeldGraph(df, most=3)
+
+
+def test_held_waves_join_beyond_the_bound(spark, graph):
+    df = graph[1]
+    want = sorted(map(tuple, wave.HeldGraph(df).hop_waves(seeds(spark, 1, 2), 2, 0.05, 3).collect()))
+    for most in (3, 1000):
+        got = wave.held_waves(df, seeds(spark, 1, 2, 2), 2, 0.05, 3, most=most)
+        assert want and sorted(map(tuple, got.collect())) == want

@@ -49,7 +49,7 @@ def hop_wave_per_seed(spark: SparkSession, d: str) -> DataFrame:
 def hop_wave_held(spark: SparkSession, d: str) -> DataFrame:
     """The same with the graph held by the workers."""
     seeds = receipt_seeds(spark, d)
-    return wave.HeldGraph(durable_edges(spark, d), (1, 2, 3, 4, 5)).hop_waves(seeds, 3, 0.2, 10)
+    return wave.held_waves(durable_edges(spark, d), seeds, 3, 0.2, 10, (1, 2, 3, 4, 5))
 
 
 def hop_wave_energies(spark: SparkSession, d: str) -> DataFrame:

@@ -278,7 +278,7 @@ def best_first(
 class HeldGraph:
     """A graph whose edges every worker holds in compressed rows, for very many waves at once.
 
-    The edges are counted first and must not exceed ``most``; larger graphs take ``hop_wave``, which holds nothing.
+    The edges are counted first and must not exceed ``most``; ``held_waves`` gives larger graphs to ``hop_wave``, which holds nothing.
     """
 
     def __init__(self, edges: DataFrame, mask: Iterable[int] | None = None, most: int = KERNEL_EDGES):
@@ -305,6 +305,15 @@ class HeldGraph:
         return seeds.select(F.col("node_id").cast("long").alias("node_id")).dropna().distinct().mapInPandas(run, schema)
 
 
+def held_waves(edges: DataFrame, seeds: DataFrame, max_steps: int, threshold: float, top_k: int, mask: Iterable[int] | None = None, most: int = KERNEL_EDGES) -> DataFrame:
+    """The hop wave of every distinct seed on its own, over a held graph up to ``most`` edges and by ``hop_wave`` beyond."""
+    mask = None if mask is None else tuple(mask)
+    if prepared(edges, mask).count() <= most:
+        return HeldGraph(edges, mask, most).hop_waves(seeds, max_steps, threshold, top_k)
+    own = seeds.select(F.col("node_id").cast("long").alias("node_id")).dropna().distinct()
+    return hop_wave(edges, own.withColumn("seed", F.col("node_id")), max_steps, threshold, top_k, mask, ["seed"])
+
+
 def _waves(graph: tuple, seeds: np.ndarray, max_steps: int, threshold: float, top_k: int) -> pd.DataFrame:
     """Hop waves of many seeds, hop by hop over all of them: numpy sorts take the place of maps."""
     nodes, first, dst, kind, weight = graph
