@@ -218,3 +218,8 @@ def test_metrics(spark):
     got = {r["query_id"]: r for r in metrics.retrieval(spark.createDataFrame(data, "query_id long, rank int, relevant boolean"), 3).collect()}
     assert got[1]["reciprocal_rank"] == 1.0 and got[2]["ndcg"] == 0.0
     assert abs(got[1]["ndcg"] - (1 + 0.5) / (1 + 1 / math.log2(3))) < 1e-12
+
+
+def test_a_record_longer_than_a_page_takes_pages_of_its_own(spark):
+    df = spark.createDataFrame([("a", 1, 4), ("a", 2, 25), ("a", 3, 10), ("a", 4, 3), ("b", 1, 20), ("b", 2, 1)], "file string, record_id long, length long")
+    assert rows(payload.pages(df, 10)) == [("a", 1, 0, 0), ("a", 2, 1, 0), ("a", 3, 4, 0), ("a", 4, 5, 0), ("b", 1, 0, 0), ("b", 2, 2, 0)]

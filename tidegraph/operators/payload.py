@@ -86,7 +86,7 @@ def checksum_failures(rows: DataFrame, mode: str = "full") -> DataFrame:
 
 def pages(records: DataFrame, page_size: int, file: str = "file") -> DataFrame:
     """(file, record_id, page, page_offset): records in the order of record_id on pages of a fixed size that none crosses.
-    One longer than a page is an error. Pages of a file follow from one another, so each file is one stream."""
+    One longer than a page begins on a page of its own and takes as many in a row as it needs. Pages of a file follow from one another, so each file is one stream."""
     rows = records.select(file, "record_id", "length").repartition(file).sortWithinPartitions(file, "record_id")
     kind = dict(records.dtypes)
 
@@ -95,15 +95,15 @@ def pages(records: DataFrame, page_size: int, file: str = "file") -> DataFrame:
         for pdf in batches:
             where, offsets = [], []
             for f, n in zip(pdf[file], pdf["length"], strict=True):
-                if n > page_size:
-                    raise ValueError("a record is longer than a page")
                 if f != at:
                     at, page, used = f, 0, 0
-                if used + n > page_size:
+                if used and used + n > page_size:
                     page, used = page + 1, 0
                 where.append(page)
                 offsets.append(used)
                 used += n
+                if n > page_size:
+                    page, used = page + -(-n // page_size), 0
             yield pdf.drop(columns="length").assign(page=where, page_offset=offsets)
 
     return rows.mapInPandas(run, f"{file} {kind[file]}, record_id {kind['record_id']}, page long, page_offset long")
