@@ -223,3 +223,14 @@ def test_metrics(spark):
 def test_a_record_longer_than_a_page_takes_pages_of_its_own(spark):
     df = spark.createDataFrame([("a", 1, 4), ("a", 2, 25), ("a", 3, 10), ("a", 4, 3), ("b", 1, 20), ("b", 2, 1)], "file string, record_id long, length long")
     assert rows(payload.pages(df, 10)) == [("a", 1, 0, 0), ("a", 2, 1, 0), ("a", 3, 4, 0), ("a", 4, 5, 0), ("b", 1, 0, 0), ("b", 2, 2, 0)]
+
+
+def test_costs_and_fetches_are_of_all_pointers(spark, monkeypatch):
+    from tidegraph.catalog import stores
+
+    df = spark.createDataFrame([(i, "s", "x" * 9, 9) for i in range(30)], "doc_id long, source string, text string, n_chars long")
+    monkeypatch.setattr(stores, "table", lambda *_: df)
+    assert stores.read_costs(spark, "").select("naive_reads", "naive_bytes").collect() == [(30, 270)]
+    met, fetch = [], payload.fetch
+    monkeypatch.setattr(payload, "fetch", lambda p, docs: met.append(p.count()) or fetch(p, docs))
+    assert stores.fetch_equivalence(spark, "").collect() == [] and met == [30]

@@ -75,17 +75,13 @@ def archive_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pointers(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of each source one after the other, of which a third are asked for."""
+    """Texts of each source one after the other."""
     rows = table(spark, d, "documents").filter("source IS NOT NULL").select("source", "doc_id", F.coalesce("n_chars", F.lit(0)).alias("length"))
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("offset", F.coalesce(F.sum("length").over(w), F.lit(0)))
     return rows.filter("length > 0").select(F.col("source").alias("file"), F.col("doc_id").alias("record_id"), "offset", "length")
 
 
-def asked(spark: SparkSession, d: str) -> DataFrame:
-    return pointers(spark, d).filter(F.pmod(F.crc32(F.col("record_id").cast("string")), F.lit(3)) == 0)
-
-
 def coalesced_spans_gap(spark: SparkSession, d: str) -> DataFrame:
     """Reads joined over gaps of up to 2,000."""
     return payload.gap_spans(pointers(spark, d).filter("length > 1500"), 2000)
@@ -97,7 +93,7 @@ def coalesced_spans_bounded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_costs(spark: SparkSession, d: str) -> DataFrame:
-    return payload.read_costs(payload.bounded_spans(asked(spark, d), 2000, 65_536))
+    return payload.read_costs(payload.bounded_spans(pointers(spark, d), 2000, 65_536))
 
 
 def page_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -108,8 +104,8 @@ def page_numbers(spark: SparkSession, d: str) -> DataFrame:
 def fetch_equivalence(spark: SparkSession, d: str) -> DataFrame:
     """Differences between texts fetched one by one and cut out of their spans' records (none)."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("record_id"), F.col("text").alias("payload"))
-    one = payload.fetch(asked(spark, d), docs)
-    two = payload.bounded_spans(asked(spark, d), 256, 65_536).join(docs, "record_id").select("record_id", "payload")
+    one = payload.fetch(pointers(spark, d), docs)
+    two = payload.bounded_spans(pointers(spark, d), 256, 65_536).join(docs, "record_id").select("record_id", "payload")
     return payload.differences(one, two).groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
