@@ -185,3 +185,11 @@ def test_held_waves_join_beyond_the_bound(spark, graph):
     for most in (3, 1000):
         got = wave.held_waves(df, seeds(spark, 1, 2, 2), 2, 0.05, 3, most=most)
         assert want and sorted(map(tuple, got.collect())) == want
+
+
+def test_edges_of_many_nodes(spark, graph):
+    df = graph[1]
+    for direction in ("out", "in", "both"):
+        want = {tuple(r) for n in (1, 4) for r in E.edges_of(df, n, direction).collect()}
+        got = [tuple(r) for r in E.edges_of(df, seeds(spark, 1, 4, 4, None), direction).collect()]
+        assert want and len(got) == len(want) and set(got) == want

@@ -121,8 +121,9 @@ def sum_wave(spark: SparkSession, d: str) -> DataFrame:
 
 def edges_both(spark: SparkSession, d: str) -> DataFrame:
     """Edges in either direction at the nodes divisible by 100, once per type and weight in millionths."""
-    rows = durable_edges(spark, d).filter((F.col("src") % EVERY == 0) | (F.col("dst") % EVERY == 0))
-    return rows.select("src", "dst", "edge_type", F.round(F.col("weight") * 1_000_000).cast("long").alias("weight_million")).distinct()
+    rows = durable_edges(spark, d)
+    nodes = rows.select(F.explode(F.array("src", "dst")).alias("node_id")).filter(F.col("node_id") % EVERY == 0)
+    return E.edges_of(rows, nodes, "both")
 
 
 def node_degrees(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.config import BLOCKER, DEFAULT_MASK, EDGE_TYPES
+from tidegraph.plans.skew import salted_join
 
 IDS = {name: i for i, name in EDGE_TYPES.items()}
 
@@ -47,14 +48,21 @@ def without_blocked(edges: DataFrame) -> DataFrame:
     return edges.filter(F.col("edge_type") != BLOCKER).join(blocked_pairs(edges), ["src", "dst"], "left_anti")
 
 
-def edges_of(edges: DataFrame, node: int, direction: str = "out", types: Iterable[int] | None = None, limit: int | None = None) -> DataFrame:
-    """Edges at a node, once per (src, dst, edge_type, weight in millionths), ordered; the node reaches the scan as a filter."""
+def edges_of(edges: DataFrame, node: int | DataFrame, direction: str = "out", types: Iterable[int] | None = None, limit: int | None = None) -> DataFrame:
+    """Edges at a node, once per (src, dst, edge_type, weight in millionths), ordered; the node reaches the scan as a
+    filter. Many nodes (a table with node_id) are joined with all edges, hot ends split."""
     if direction not in ("out", "in", "both"):
         raise ValueError(f"unknown direction {direction}")
     if limit is not None and limit <= 0:
         raise ValueError("limit must be positive")
-    at = {"out": F.col("src") == node, "in": F.col("dst") == node, "both": (F.col("src") == node) | (F.col("dst") == node)}[direction]
-    rows = edges.filter(at)
+    if isinstance(node, DataFrame):
+        edges = edges.select("src", "dst", "edge_type", "weight")
+        ends = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+        found = [salted_join(edges, node.select(F.col("node_id").alias(c)).distinct(), [c], "left_semi", F.struct(*edges.columns)).select(*edges.columns) for c in ends]
+        rows = found[0].union(found[-1]) if len(found) > 1 else found[0]
+    else:
+        at = {"out": F.col("src") == node, "in": F.col("dst") == node, "both": (F.col("src") == node) | (F.col("dst") == node)}[direction]
+        rows = edges.filter(at)
     if types is not None:
         rows = rows.filter(in_mask(F.col("edge_type"), types))
     rows = rows.select("src", "dst", "edge_type", F.round(F.col("weight") * 1_000_000).cast("long").alias("weight_million")).distinct()
