@@ -46,15 +46,50 @@ def test_every_planted_passage_is_found_and_no_shorter_one(spark):
     assert len(rows) == len(found) and found == want
 
 
-def test_shuffled_search_equals_broadcast_search(spark, monkeypatch):
-    words = [f"word{i}stone" for i in range(40)]
-    docs = spark.createDataFrame([(1, " ".join(words[5:30])), (2, " ".join(words[:9]))], "doc_id long, text string")
-    tests = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
-    want = [tuple(r) for r in leaks.leaks(docs, tests).collect()]
-    assert want == [(7, 1, 25, 40)]
-    monkeypatch.setattr(leaks, "BROADCAST_PRINTS", 0)
-    monkeypatch.setattr(leaks, "BROADCAST_ITEMS", 0)
-    assert [tuple(r) for r in leaks.leaks(docs, tests).collect()] == want
+def test_search_in_shards_equals_one_broadcast(spark):
+    r = random.Random(4)
+    words = ["".join(r.sample("covtuqhspzx", 8)) for _ in range(40)]
+    docs = spark.createDataFrame([(1, " ".join(words[5:30])), (2, " ".join(words[:9])), (3, " ".join(words[:20][::-1]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[::-1])), (9, " ".join(words)), (10, None)], "item_id long, text string")
+    want = sorted(tuple(r) for r in leaks.leaks(docs, tests).collect())
+    assert want == [(7, 1, 25, 40), (8, 3, 20, 40), (9, 1, 25, 40)]
+    assert sorted(tuple(r) for r in leaks.leaks(docs, tests, test_chars=100).collect()) == want
+
+
+def test_every_script_is_searched(spark):
+    r = random.Random(8)
+    letters = {"Han": (0x4E00, 0x9F00), "Hangul": (0xAC00, 0xD700), "Hebrew": (0x05D0, 0x05EA), "Arabic": (0x0627, 0x063A), "Devanagari": (0x0904, 0x0939), "Greek": (0x03B1, 0x03C9), "Han beyond": (0x20000, 0x2A000)}
+    pages, items = [], []
+    for k, (low, high) in enumerate(letters.values()):
+        words = ["".join(chr(r.randrange(low, high)) for _ in range(4)) for _ in range(20)]
+        items.append((k, " ".join(words)))
+        pages += [(10 * k, "x y\n" + " ".join(words[2:18])), (10 * k + 1, " ".join(words[:4]) + " other")]
+    run = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(60))
+    items.append((90, run))
+    pages += [(900, "plain " + run[6:46] + " text"), (901, run[:20])]
+    got = leaks.leaks(spark.createDataFrame(pages, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((x["item_id"], x["doc_id"], x["n_words"]) for x in got.collect()) == [*[(k, 10 * k, 16) for k in range(7)], (90, 900, 20)]
+
+
+def test_clean_texts_against_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("cotuqhspzxiv") for _ in range(r.randrange(3, 9)))
+    items = [(i, [word() for _ in range(30)]) for i in range(30)]
+    pages = []
+    for d in range(200):
+        body = [word() for _ in range(r.randrange(5, 60))]
+        if r.random() < 0.7:
+            source, n = r.choice(items)[1], r.randrange(8, 20)
+            a = r.randrange(0, 30 - n)
+            body[2:2] = source[a : a + n]
+        pages.append((d, body))
+    want = set()
+    for i, words in items:
+        parts = {tuple(words[a : a + 13]) for a in range(18)}
+        want |= {(i, d) for d, body in pages if any(tuple(body[a : a + 13]) in parts for a in range(len(body) - 12))}
+    docs = spark.createDataFrame([(d, " ".join(b)) for d, b in pages], "doc_id long, text string")
+    got = leaks.leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    assert want and {(x["item_id"], x["doc_id"]) for x in got.collect()} == want
 
 
 def test_nothing_to_search(spark):

@@ -48,7 +48,8 @@ def window_minima(hashes: np.ndarray, window: int, starts: np.ndarray) -> np.nda
         key = np.minimum(key[: len(key) - size], key[size:])
         size *= 2
     low = np.minimum(key[starts], key[starts + (window - size)])
-    return np.unique((low & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    at = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)  # never falls from one window to a later one
+    return at[np.concatenate([[True], at[1:] != at[:-1]])]
 
 
 def fingerprints(codes: np.ndarray, sizes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
