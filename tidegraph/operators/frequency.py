@@ -48,7 +48,7 @@ def summarize(
     keys = list(keys)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vc = compress(df, keys, value)
+    vc = cut(compress(df, keys, value))  # read for the counts, the bounds of ranges and the ranks
     counts = vc.groupBy(*keys).agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).cast("long").alias("n_values"),
@@ -87,6 +87,6 @@ def summarize(
 
 def heavy_hitters(df: DataFrame, keys: Sequence[str], value: str, one_in: int) -> DataFrame:
     """Keys that hold at least one in ``one_in`` of all rows of ``df``; keys with a null count in the total alone."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    per_key = key_counts(compress(df, keys, value), keys)
+    per_key = cut(key_counts(compress(df, keys, value), keys))
+    total = per_key.agg(F.sum("n_rows").alias("total"))
     return per_key.filter(F.col("n_rows") * one_in >= total.scalar()).dropna(subset=list(keys))
