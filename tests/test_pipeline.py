@@ -113,15 +113,15 @@ def random_events(r, n):
     return out + [(None, ["n001"]), ("  ", None), ("n005", ["n005"] if r.random() < 0.3 else [])]
 
 
-def test_hierarchy_equals_brute_force_in_one_task_and_by_rounds(spark):
-    for seed, small in ((1, 50_000), (2, 0), (3, 12)):
-        data = random_events(random.Random(seed), 30 if small else 14)
+def test_hierarchy_equals_brute_force(spark):
+    for seed, n in ((3, 40),):
+        data = random_events(random.Random(seed), n)
         df = spark.createDataFrame([(a, b, "clash") for a, b in data], "provenance_id string, ps array<string>, node string")
         want, below = brute_tree(data)
-        got = hierarchy.hierarchy(df, "provenance_id", "ps", with_path=True, small=small)
+        got = hierarchy.hierarchy(df, "provenance_id", "ps", with_path=True)
         assert {(r[0], r[1], r[2]): (list(r[3]) if r[3] else None) for r in got.collect()} == want
         nodes, links = hierarchy.clean_links(df, "provenance_id", "ps")
-        down = hierarchy.descendants(hierarchy.peel(nodes, links, small), small)
+        down = hierarchy.descendants(hierarchy.peel(nodes, links).links)
         assert {(r[0], r[1]): r[2] for r in down.collect()} == below
 
 
@@ -129,8 +129,19 @@ def test_hierarchy_of_nothing_and_of_cycles_alone(spark):
     schema = "provenance_id string, ps array<string>"
     assert hierarchy.hierarchy(spark.createDataFrame([], schema), "provenance_id", "ps").count() == 0
     ring = spark.createDataFrame([("b", ["a"]), ("a", ["b"]), ("c", ["c"]), ("d", ["a"])], schema)
-    for small in (50_000, 0):
-        assert rows(hierarchy.hierarchy(ring, "provenance_id", "ps", small=small)) == [("a", "a", -1), ("b", "a", -1), ("c", "c", -1)]
+    assert rows(hierarchy.hierarchy(ring, "provenance_id", "ps")) == [("a", "a", -1), ("b", "a", -1), ("c", "c", -1)]
+
+
+def test_rounds_grow_with_the_logarithm_of_the_depth(spark):
+    n = 250
+    data = [(f"k{i:05}", [f"k{i - 1:05}"] if i else []) for i in range(n)]
+    data += [(f"w{i:05}", ["k00000"]) for i in range(500)] + [(f"r{i:03}", [f"r{(i + 1) % 40:03}"]) for i in range(40)] + [("top", None), ("r007", ["top"]), ("under", ["r030"])]
+    nodes, links = hierarchy.clean_links(spark.createDataFrame(data, "provenance_id string, ps array<string>"), "provenance_id", "ps")
+    peeled = hierarchy.peel(nodes, links)
+    assert len(peeled.rounds) < 40
+    got = {(r["node"], r["root_id"]): r["depth"] for r in hierarchy.assign(peeled).collect()}
+    assert got == {(f"k{i:05}", "k00000"): i for i in range(n)} | {(f"w{i:05}", "k00000"): 1 for i in range(500)} | {("top", "top"): 0}
+    assert {(r["node"], r["root_id"]) for r in peeled.cycles.collect()} == {(f"r{i:03}", "r000") for i in range(40)}
 
 
 # 3. Orphans
@@ -163,8 +174,21 @@ def test_reasons_equal_brute_force(spark):
             continue
         want[i] = "missing" if not mine else "deleted" if any(b <= m and b < e for b, e in mine) else "late"
     spans = orphans.lifetimes(spark.createDataFrame(records, "rec string, node long, b timestamp_ntz, e timestamp_ntz"), F.col("node"), F.col("rec"), "b", "e", salts=3)
-    got = orphans.unresolved(spark.createDataFrame(refs, "ref_key long, key long, moment timestamp_ntz"), spans, F.col("ref_key"))
-    assert {x["ref_key"]: x["reason"] for x in got.collect()} == want
+    refs = spark.createDataFrame([(*x, "clash") for x in refs], "ref_key long, key long, moment timestamp_ntz, begin string")
+    got = orphans.orphans(refs, spans, [("key", "key")], "simple", "ref_key", "moment").collect()
+    assert {x["ref_key"]: x["reason"] for x in got} == want and len(got) == len(want)
+
+
+def test_partly_null_keys_and_several_keys_at_their_moment(spark):
+    at = lambda h: T0 + timedelta(hours=h)
+    spans = spark.createDataFrame([(1, 1, at(0), at(10)), (1, 2, at(20), at(30)), (2, None, at(0), at(99))], "x long, y long, begin timestamp_ntz, end timestamp_ntz")
+    refs = spark.createDataFrame([(1, 1, 1, at(5)), (2, 1, 1, at(15)), (3, 1, None, at(25)), (4, 1, None, at(15)), (5, None, 2, at(5)), (6, None, 7, at(5)), (7, None, None, at(5))], "id long, a long, b long, moment timestamp_ntz")
+    got = lambda keys, m: rows(orphans.orphans(refs, spans, keys, m, "id", "moment").select("id", "null_mask", *["ref_column"] * isinstance(keys, dict), "reason"))
+    pair = [("a", "x"), ("b", "y")]
+    assert got(pair, "simple") == [(2, 0, "deleted")]
+    assert got(pair, "partial") == [(2, 0, "deleted"), (4, 2, "deleted"), (5, 1, "late"), (6, 1, "missing")]
+    assert got(pair, "full") == [(2, 0, "deleted"), (3, 2, "missing"), (4, 2, "missing"), (5, 1, "missing"), (6, 1, "missing")]
+    assert got({"one": [("a", "x")], "two": [("b", "y")]}, "simple") == [(2, 0, "one", "deleted"), (2, 0, "two", "deleted"), (4, 2, "one", "deleted"), (5, 1, "two", "late"), (6, 1, "two", "missing")]
 
 
 def test_no_references_and_no_targets(spark):

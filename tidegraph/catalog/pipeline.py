@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.operators import changefeed, frequency, hierarchy, orphans
+from tidegraph.plans.lineage import cut
 from tidegraph.sources.tables import table
 
 
@@ -41,7 +42,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every event off cycles with each of its descendants and the smallest number of links between them."""
     nodes, links = hierarchy.clean_links(table(spark, d, "provenance_event"), "provenance_id", "parent_provenance_ids")
-    return hierarchy.descendants(hierarchy.peel(nodes, links)).withColumnRenamed("node", "provenance_id")
+    return hierarchy.descendants(hierarchy.peel(nodes, links).links).withColumnRenamed("node", "provenance_id")
 
 
 def p2_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
@@ -53,16 +54,17 @@ def p2_subtree_sizes(spark: SparkSession, d: str) -> DataFrame:
 def unresolved_references(spark: SparkSession, d: str) -> DataFrame:
     """References of durable_edge and evidence_ref that name nothing live at their moment."""
     edges, evidence = table(spark, d, "durable_edge"), table(spark, d, "evidence_ref")
-    valid = {c: F.col(c) >= 0 for c in ("src", "dst")}
-    a = orphans.one_per_reference(edges, "logical_id", ["src", "dst"], valid, "arrived_at")
+    ends = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("src", "dst")}
+    refs = orphans.first_deliveries(edges, "logical_id", ends, "arrived_at")
     nodes = orphans.lifetimes(table(spark, d, "durable_record"), F.col("node_id"), F.col("record_id"), "arrived_at", "deleted_at")
-    a = orphans.unresolved(a, nodes, F.col("ref_key")).withColumn("ref_table", F.lit("durable_edge")).drop("key")
-    evidence = evidence.select("evidence_id", hierarchy.clean_id("provenance_id").alias("provenance_id"), "arrived_at")
-    b = orphans.one_per_reference(evidence, "evidence_id", ["provenance_id"], {"provenance_id": F.lit(True)}, "arrived_at")
+    a = orphans.orphans(refs, nodes, {c: [(c, "key")] for c in ends}, "simple", "ref_key", "moment").withColumn("ref_table", F.lit("durable_edge"))
+    refs = orphans.first_deliveries(evidence, "evidence_id", {"provenance_id": hierarchy.clean_id("provenance_id")}, "arrived_at")
     events = table(spark, d, "provenance_event").select(hierarchy.clean_id("provenance_id").alias("k"), "arrived_at")
-    b = orphans.unresolved(b, orphans.lifetimes(events, F.col("k"), F.lit(0), "arrived_at"), F.col("ref_key"))
-    out = a.unionByName(b.withColumn("ref_table", F.lit("evidence_ref")).drop("key"))
-    return out.select("ref_table", "ref_column", "ref_key", "reason", F.date_format("moment", "yyyy-MM-dd").alias("ref_day"))
+    events = orphans.lifetimes(events, F.col("k"), F.lit(0), "arrived_at")
+    b = orphans.orphans(refs, events, {"provenance_id": [("provenance_id", "key")]}, "simple", "ref_key", "moment").withColumn("ref_table", F.lit("evidence_ref"))
+    day = F.date_format("moment", "yyyy-MM-dd").alias("ref_day")
+    columns = ["ref_table", "ref_column", "ref_key", "reason", day]
+    return a.select(*columns).union(b.select(*columns))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +109,23 @@ def p5_transactions(spark: SparkSession, d: str) -> DataFrame:
     return got.select("txn", "commit_lsn", "status", "n_ops")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_weight_summary, p2_found, p2_paths, p2_descendants, p2_subtree_sizes, p3_found, p3_counts, p3_composite_orphans, p5_found, p5_records, p5_edges, p5_transactions)}
+def p5_late_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The final state where every other transaction arrives only after a state was kept, tombstones and all: its
+    changes are folded into that base, though many are older than what they meet there."""
+    changes = changefeed.effective_changes(table(spark, d, "wal_frame")).withColumn("entity", changefeed.entity())
+    fold = lambda some, base: changefeed.fold(some, ["entity"], ["commit_lsn", "lsn"], F.col("kind").startswith("DELETE"), ["record_id"], base)
+    changes = cut(changes)
+    base = fold(changes.filter("commit_lsn % 2 = 0"), None)
+    return fold(changes.filter("commit_lsn % 2 = 1"), base).filter("NOT is_deleted").select("entity", "lsn")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_weight_summary, p2_found, p2_paths, p2_descendants, p2_subtree_sizes, p3_found, p3_counts, p3_composite_orphans,
+        p5_found, p5_records, p5_edges, p5_transactions, p5_late_changes,
+    )
+}
 
 _NODE_SPANS = """spans AS (SELECT node_id AS k, record_id, min(arrived_at) AS b, coalesce(min(deleted_at), TIMESTAMP '9999-12-31') AS e
   FROM durable_record WHERE node_id IS NOT NULL GROUP BY 1, 2)"""
@@ -194,6 +212,7 @@ FROM durable_edge e WHERE (src IS NOT NULL AND dst IS NOT NULL AND NOT EXISTS (S
  OR (src IS NULL AND dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM durable_edge t WHERE t.edge_type = 1 AND t.dst = e.dst))
  OR (src IS NOT NULL AND dst IS NULL AND NOT EXISTS (SELECT 1 FROM durable_edge t WHERE t.edge_type = 1 AND t.src = e.src)) GROUP BY 1""",
     "p5_found": STATE_SQL + "SELECT entity, lsn FROM l WHERE kind LIKE 'PUT%'",
+    "p5_late_changes": STATE_SQL + "SELECT entity, lsn FROM l WHERE kind LIKE 'PUT%'",
     "p5_records": STATE_SQL + "SELECT record_id, node_id, body, commit_lsn, lsn FROM l WHERE kind = 'PUT_RECORD'",
     "p5_edges": STATE_SQL + "SELECT src, dst, edge_type, weight_million, lsn FROM l WHERE kind = 'PUT_EDGE'",
     "p5_transactions": STATE_SQL + "SELECT txn, commit_lsn, status, n_ops FROM t",

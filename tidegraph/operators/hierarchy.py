@@ -1,26 +1,21 @@
 """Paths, depths, roots and descendants in parent-child data of unknown depth, with cycles found.
 
-Leaves are peeled from the bottom up; what can't be peeled holds the cycles. In the reverse order of the peeling, every
-node takes its roots, depths and paths from its parents, which were peeled later; in the order of the peeling, every
-parent takes the descendants of its children.
+Leaves are peeled from the bottom up, round by round, and chains of nodes with one child and one parent are contracted on
+the way, so that the number of rounds grows with the logarithm of the depth. What can't be peeled holds the cycles. In
+the reverse order of the peeling, every node takes its roots, depths and paths from the parents it had when it was
+peeled, which were peeled later. Each round peels a share of what is left, so all later rounds together are no larger
+than a few times the round that reads them. Every round is a job over all executors, at every size.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.plans.lineage import cut
 
-#: While more links than this are left, each round of peeling is a job over all executors. The long thin rest below
-#: it (deep chains: many rounds of a few nodes each) is peeled in one task, whose size this bounds. 0: never.
-SMALL_GRAPH = 50_000
-
 
 def clean_id(column: str):
     """Ids compare in lower case without outer white space; blank ids are null."""
@@ -45,73 +40,13 @@ def clean_links(events: DataFrame, node: str, parents: str) -> tuple[DataFrame,
 
 @dataclass
 class Peeled:
-    """``levels``: (node, level), children always below their parents. ``cycles``: (node, root_id), those on a cycle.
-    ``links``: the links between nodes off cycles. ``top``: the highest level."""
+    """``rounds``: of each round, from the first on, the links by which its nodes hang on nodes peeled later: (node,
+    parent, w, inner). ``cycles``: (node, root_id), those on a cycle. ``links``: the links between nodes off cycles."""
 
     nodes: DataFrame
-    levels: DataFrame
-    cycles: DataFrame
     links: DataFrame
-    top: int
-
-
-def _peel_local(links: list[tuple[str, str]], start: int) -> list[tuple[str, int, str | None]]:
-    """(node, level, cycle) of every node of a small graph; level -1 for those on a cycle, which ``cycle`` names."""
-    up, down = defaultdict(list), defaultdict(list)
-    nodes: set[str] = set()
-    for node, parent in links:
-        nodes.update((node, parent))
-        if node != parent:
-            up[node].append(parent)
-            down[parent].append(node)
-    out = []
-    selfish = {n for n, p in links if n == p}
-    cycle = {}
-    # Strongly connected components: two passes of depth-first search with own stacks.
-    order, seen = [], set()
-    for first in nodes:
-        if first in seen:
-            continue
-        seen.add(first)
-        stack = [(first, iter(up[first]))]
-        while stack:
-            at, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                order.append(at)
-                stack.pop()
-            else:
-                seen.add(nxt)
-                stack.append((nxt, iter(up[nxt])))
-    seen = set()
-    for first in reversed(order):
-        if first in seen:
-            continue
-        seen.add(first)
-        part, todo = [first], [first]
-        while todo:
-            for x in down[todo.pop()]:
-                if x not in seen:
-                    seen.add(x)
-                    part.append(x)
-                    todo.append(x)
-        if len(part) > 1 or first in selfish:
-            name = min(part)
-            cycle.update(dict.fromkeys(part, name))
-    out += [(n, -1, c) for n, c in cycle.items()]
-    left = {n: sum(x not in cycle for x in down[n]) for n in nodes if n not in cycle}
-    level, layer = start, [n for n, k in left.items() if not k]
-    while layer:
-        nxt = []
-        for n in layer:
-            out.append((n, level, None))
-            for p in up[n]:
-                if p in left:
-                    left[p] -= 1
-                    if not left[p]:
-                        nxt.append(p)
-        level, layer = level + 1, nxt
-    return out
+    cycles: DataFrame
+    rounds: list[DataFrame]
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -160,205 +95,155 @@ def _components(links: DataFrame) -> DataFrame:
     return cut(out.groupBy("node").agg(F.min("root_id").alias("root_id")))
 
 
-def peel(nodes: DataFrame, links: DataFrame, small: int = SMALL_GRAPH) -> Peeled:
-    """Peels leaves, round by round, and finds the nodes on cycles in what is left.
+LEAF, CHAIN, REST = 0, 1, 2
+
 
-    Links to itself put a node on a cycle. ``links`` must be distinct pairs of existing nodes.
+def _round(rest: DataFrame, number: int) -> DataFrame:
+    """One round over links (node, parent, w, inner), where ``w`` links and the nodes ``inner`` of chains lie in between.
+
+    Rows by ``kind``: LEAF, the links of nodes without a child, which are peeled. CHAIN, the link of a node with one
+    child and one parent that is peeled too, as its hash is smaller than that of both neighbours (so these aren't); its
+    child is linked to its parent instead. REST, the links that are left, the lightest of parallel ones; ``child`` is set
+    there for those that a later round may contract.
+    """
+    order = lambda c: F.xxhash64(F.col(c), F.lit(number))
+    kids = rest.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
+    ups = rest.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("parent", "w", "inner")).alias("up"))
+    both = ups.join(kids, "node", "left")
+    leaves = both.filter("n IS NULL").select("node", F.lit(True).alias("leaf"))
+    links = rest.join(leaves, "node", "left")
+    chains = both.filter("n = 1 AND m = 1 AND child <> node").select("node", "child", "up")
+    chosen = chains.filter((order("node") < order("child")) & (order("node") < order("up.parent")))
+    edit = F.array(
+        F.struct("node", F.col("up.parent").alias("parent"), F.lit(None).cast("struct<parent:string,w:bigint,inner:array<string>>").alias("to"), F.col("child")),
+        F.struct(F.col("child").alias("node"), F.col("node").alias("parent"), F.col("up").alias("to"), F.lit(None).cast("string").alias("child")),
+    )
+    edits = chosen.select(F.explode(edit).alias("e")).select("e.*", F.lit(True).alias("edited"))
+    links = links.join(edits, ["node", "parent"], "left")
+    drops = F.col("edited") & F.col("to").isNull()
+    kind = F.when(F.col("leaf"), F.lit(LEAF)).when(drops, F.lit(CHAIN)).otherwise(F.lit(REST))
+    moved = F.col("to").isNotNull() & F.col("leaf").isNull()
+    inner = F.concat("to.inner", F.array("parent"), "inner")
+    links = links.select(
+        kind.alias("kind"), "node", F.when(moved, F.col("to.parent")).otherwise(F.col("parent")).alias("parent"),
+        F.when(moved, F.col("w") + F.col("to.w")).otherwise(F.col("w")).alias("w"), F.when(moved, inner).otherwise(F.col("inner")).alias("inner"), "child",
+    )
+    best = links.groupBy("kind", "node", "parent").agg(F.min(F.struct("w", "inner")).alias("b"), F.min("child").alias("child"))
+    return cut(best.select("kind", "node", "parent", "b.w", "b.inner", "child"))
+
+
+def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
+    """Peels leaves and contracts chains, round by round, and finds the nodes on cycles in what is left.
+
+    Links to itself put a node on a cycle. ``links`` must be distinct pairs of existing nodes. ``inner`` is kept only
+    ``with_path``. A round in which nothing is peeled (but chains are left) is one whose hashes chose none of them.
     """
     spark = nodes.sparkSession
-    levels: list[DataFrame] = []
+    no_inner = F.array().cast("array<string>") if with_path else F.lit(None).cast("array<string>")
+    rest = links.select("node", "parent", F.lit(1).cast("long").alias("w"), no_inner.alias("inner"))
+    rounds: list[DataFrame] = []
+    chains: list[DataFrame] = []
     cycles = spark.createDataFrame([], "node string, root_id string")
-    rest_nodes, rest, level, n_links = nodes.select("node"), links, 0, links.count()
-    off = links
-    found_cycles = False
-    while n_links > small or (small == 0 and not rest_nodes.isEmpty()):
-        parents = rest.select(F.col("parent").alias("node")).distinct()
-        leaves = cut(rest_nodes.join(parents, "node", "left_anti").withColumn("level", F.lit(level)))
-        if leaves.isEmpty():
+    n_links, number, found_cycles = links.count(), 0, False
+    while n_links:
+        done = _round(rest, number)
+        counts = {r[0]: r[1] for r in done.groupBy("kind").count().collect()}  # three rows
+        rest, n_links, number = done.filter(F.col("kind") == REST).select("node", "parent", "w", "inner"), counts.get(REST, 0), number + 1
+        if counts.get(LEAF) or counts.get(CHAIN):
+            # Chains count as peeled after the leaves of their round, which may hang on them.
+            rounds += [done.filter(F.col("kind") == kind).select("node", "parent", "w", "inner") for kind in (LEAF, CHAIN) if counts.get(kind)]
+            if counts.get(CHAIN):
+                chains.append(done.filter(F.col("kind") == CHAIN).select("node", "parent", "child"))
+        elif not _has_chains(rest):
             if found_cycles:
                 raise AssertionError("links are left that no peeling removes")
-            cycles = _components(rest)
-            found_cycles = True
+            cycles, found_cycles = _unfold_cycles(_components(rest.select("node", "parent")), chains), True
             gone = cycles.select("node")
-            rest = cut(rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"))
-            rest_nodes = cut(rest_nodes.join(gone, "node", "left_anti"))
+            rest = cut(rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent", "w", "inner"))
             n_links = rest.count()
-            continue
-        levels.append(leaves)
-        rest = cut(rest.join(leaves.select("node"), "node", "left_anti"))
-        rest_nodes = cut(rest_nodes.join(leaves.select("node"), "node", "left_anti"))
-        n_links, level = rest.count(), level + 1
-    if small and n_links <= small:
-        start = level
-
-        def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pairs = [(a, b) for pdf in batches for a, b in zip(pdf["node"], pdf["parent"], strict=True)]
-            yield pd.DataFrame(_peel_local(pairs, start), columns=["node", "level", "root_id"])
-
-        ends = cut(rest.coalesce(1).mapInPandas(finish, "node string, level int, root_id string"))
-        alone = rest_nodes.join(ends.select("node"), "node", "left_anti").withColumn("level", F.lit(level))
-        levels += [ends.filter("level >= 0").select("node", "level"), alone]
-        cycles = cycles.union(ends.filter("level < 0").select("node", "root_id"))
-    out = levels[0] if levels else spark.createDataFrame([], "node string, level int")
-    for x in levels[1:]:
-        out = out.union(x)
-    out = cut(out)
-    gone = cycles.select("node")
-    off = cut(off.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"))
-    top = out.agg(F.max("level")).first()[0]
-    return Peeled(nodes, out, cycles, off, -1 if top is None else top)
+    off = links
+    if found_cycles:
+        cycles = _name_cycles(cycles)
+        gone = cycles.select("node")
+        off = cut(links.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent"))
+    return Peeled(nodes, off, cycles, rounds)
 
 
-def _trace(links: list[tuple[str, str]], starts: list[str], with_path: bool) -> Iterator[tuple]:
-    """(node, start, distance, path) of all nodes below each start in a small graph of (child, parent), start by start.
+def _has_chains(rest: DataFrame) -> bool:
+    kids = rest.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
+    ups = rest.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    return not ups.join(kids, "node").filter("n = 1 AND m = 1 AND child <> node").isEmpty()
 
-    Breadth first, so memory holds one start at a time. Of equally short paths the smallest wins: a layer is walked in
-    the order of its paths and a child keeps the first parent that meets it.
-    """
-    down = defaultdict(list)
-    for child, parent in links:
-        down[parent].append(child)
-    for below in down.values():
-        below.sort()
-    for start in starts:
-        before: dict[str, str | None] = {start: None}
-        layer, distance = [start], 0
-        while layer:
-            distance, met = distance + 1, []
-            for at in layer:
-                for child in down.get(at, ()):
-                    if child not in before:
-                        before[child] = at
-                        met.append(child)
-            for node in met:
-                path: list[str] = []
-                x: str | None = node
-                while with_path and x is not None:
-                    path.append(x)
-                    x = before[x]
-                yield node, start, distance, path[::-1]
-            layer = met
-
-
-def _trace_task(spark, links: DataFrame, starts: DataFrame, schema: str, with_path: bool) -> DataFrame:
-    """``_trace`` in one task, for links whose number the caller has checked."""
-    rows = links.select("node", "parent").union(starts.select("node", F.lit(None).cast("string")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, tops = [], []
-        for pdf in batches:
-            for a, b in zip(pdf["node"], pdf["parent"], strict=True):
-                pairs.append((a, b)) if b is not None else tops.append(a)
-        names = ["node", "root_id", "depth", "path"]
-        hold: list[tuple] = []
-        for row in _trace(pairs, sorted(tops), with_path):
-            hold.append(row)
-            if len(hold) >= 20_000:
-                yield pd.DataFrame(hold, columns=names)[names[: 3 + with_path]]
-                hold = []
-        yield pd.DataFrame(hold, columns=names)[names[: 3 + with_path]]
-
-    return cut(rows.coalesce(1).mapInPandas(run, schema))
-
-
-def _first_low(peeled: Peeled, counts: dict[int, int], small: int) -> int:
-    """The lowest level from which up all links together number no more than ``small``."""
-    low, held = peeled.top + 1, 0
-    while low > 0 and held + counts.get(low - 1, 0) <= small:
-        low, held = low - 1, held + counts.get(low - 1, 0)
-    return low if small and held else peeled.top + 1
-
-
-def assign(peeled: Peeled, with_path: bool = False, small: int = SMALL_GRAPH) -> DataFrame:
+
+def _unfold_cycles(cycles: DataFrame, chains: list[DataFrame]) -> DataFrame:
+    """Adds the contracted nodes of cycles: those whose child and parent are on the same one. Latest chains first."""
+    for some in reversed(chains):
+        up = cycles.select(F.col("node").alias("parent"), "root_id")
+        down = cycles.select(F.col("node").alias("child"), "root_id")
+        new = some.join(up, "parent").join(down, ["child", "root_id"], "left_semi").select("node", "root_id")
+        cycles = cut(cycles.union(new))
+    return cycles
+
+
+def _name_cycles(cycles: DataFrame) -> DataFrame:
+    names = cycles.groupBy("root_id").agg(F.min("node").alias("name"))
+    return cut(cycles.join(names, "root_id").select("node", F.col("name").alias("root_id")))
+
+
+def assign(peeled: Peeled, with_path: bool = False) -> DataFrame:
     """(node, root_id, depth[, path]) for each node off cycles and each root it can be traced to off cycles.
 
     ``depth`` is the smallest number of links; of several shortest paths, ``path`` (from the root to the node) is the
-    smallest in the order of its ids. Levels are done from the top; the topmost ones, as long as they hold no more than
-    ``small`` links together, in one task.
+    smallest in the order of its ids. Rounds are done from the last to the first.
     """
-    spark = peeled.nodes.sparkSession
-    lv = peeled.levels
-    links = peeled.links.join(lv, "node").join(lv.select(F.col("node").alias("parent"), F.col("level").alias("plevel")), "parent")
-    links = cut(links.select("node", "parent", "level", "plevel"))
-    roots = cut(peeled.nodes.filter("is_root").select("node").join(lv, "node"))
-    counts = {r[0]: r[1] for r in links.groupBy("level").count().collect()}  # one row a level
-    schema = "node string, root_id string, depth long" + ", path array<string>" * with_path
-    base = roots.select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("depth"), *[F.array("node").alias("path")] * with_path)
-    done: list[DataFrame] = [base]
-    low = _first_low(peeled, counts, small)
-    if low <= peeled.top:
-        upper = links.filter(F.col("level") >= low)
-        tops = upper.select(F.col("parent").alias("node")).distinct().join(roots.select("node"), "node", "left_semi")
-        done.append(_trace_task(spark, upper, tops, schema, with_path))
+    extra = [F.array("node").alias("path")] * with_path
+    done = [peeled.nodes.filter("is_root").select("node", F.col("node").alias("root_id"), F.lit(0).cast("long").alias("depth"), *extra)]
     order = F.struct("depth", *["path"] * with_path)
-    for level in range(low - 1, -1, -1):
-        if not counts.get(level):
-            continue
+    for links in reversed(peeled.rounds):
         have = done[0]
         for x in done[1:]:
             have = have.union(x)
-        mine = links.filter(F.col("level") == level).select(F.col("node").alias("child"), F.col("parent").alias("node"))
-        step = have.join(mine, "node").groupBy("child", "root_id").agg(F.min(order).alias("b"))
-        step = step.select(
-            F.col("child").alias("node"), "root_id", (F.col("b.depth") + 1).alias("depth"), *[F.concat("b.path", F.array("child")).alias("path")] * with_path
-        )
-        done.append(cut(step))
+        mine = links.select(F.col("node").alias("child"), F.col("parent").alias("node"), "w", "inner")
+        path = [F.concat("path", "inner", F.array("child")).alias("path")] * with_path
+        step = have.join(mine, "node").select("child", "root_id", (F.col("depth") + F.col("w")).alias("depth"), *path)
+        step = step.groupBy("child", "root_id").agg(F.min(order).alias("b"))
+        done.append(cut(step.select(F.col("child").alias("node"), "root_id", "b.depth", *["b.path"] * with_path)))
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return spark.createDataFrame([], schema) if peeled.top < 0 else out
+    return out
 
 
-def descendants(peeled: Peeled, small: int = SMALL_GRAPH) -> DataFrame:
-    """(node, descendant, distance): each node off cycles with all its descendants, as rows, so no list outgrows a task.
+def descendants(links: DataFrame) -> DataFrame:
+    """(node, descendant, distance): each node with all its descendants, as rows, so no list outgrows a task.
 
-    Level by level from the bottom, children send their own descendants and themselves to their parents. The topmost
-    levels, as long as they hold no more than ``small`` links together, are closed among themselves in one task and
-    take what lies below in one join.
+    ``links`` (node, parent) must hold no cycle. Children send their lists to their ancestors: in the k-th round every
+    node takes, from its descendants at a distance of 2^k exactly, what they have up to that distance. So lists double
+    their reach, a row is sent once for each shortest path's middle, and the rounds are the logarithm of the height.
     """
-    spark = peeled.nodes.sparkSession
-    lv = peeled.levels
-    links = peeled.links.join(lv, "node").select("node", "parent", F.col("level").alias("below"))
-    links = cut(links.join(lv.select(F.col("node").alias("parent"), "level"), "parent").select("node", "parent", "below", "level"))
-    counts = {r[0]: r[1] for r in links.groupBy("level").count().collect()}  # one row a level
-    low = _first_low(peeled, counts, small)
-    empty = spark.createDataFrame([], "node string, descendant string, distance long")
-    parts: list[DataFrame] = []
-
-    def all_of(some: list[DataFrame]) -> DataFrame:
-        out = some[0] if some else empty
-        for p in some[1:]:
-            out = out.union(p)
-        return out
-
-    def send(mine: DataFrame) -> DataFrame:
-        direct = mine.select(F.col("parent").alias("node"), F.col("node").alias("descendant"), F.lit(1).cast("long").alias("distance"))
-        sent = all_of(parts).join(mine.select("node", "parent"), "node").select(F.col("parent").alias("node"), "descendant", (F.col("distance") + 1).alias("distance"))
-        return direct.union(sent).groupBy("node", "descendant").agg(F.min("distance").alias("distance"))
-
-    for level in range(1, min(low, peeled.top + 1)):
-        if counts.get(level):
-            parts.append(cut(send(links.filter(F.col("level") == level))))
-    if low <= peeled.top:
-        upper = links.filter(F.col("level") >= low)
-        inner = upper.filter(F.col("below") >= low)
-        tops = inner.select(F.col("parent").alias("node")).distinct()
-        among = _trace_task(spark, inner, tops, "node string, root_id string, depth long", False)
-        among = among.select(F.col("root_id").alias("node"), F.col("node").alias("descendant"), F.col("depth").alias("distance"))
-        crossing = cut(send(upper.filter(F.col("below") < low)))
-        far = among.select("node", F.col("descendant").alias("via"), F.col("distance").alias("d")).join(crossing.withColumnRenamed("node", "via"), "via")
-        far = far.select("node", "descendant", (F.col("d") + F.col("distance")).alias("distance")).union(crossing)
-        parts += [among, far.groupBy("node", "descendant").agg(F.min("distance").alias("distance"))]
-    return all_of(parts)
-
-
-def hierarchy(events: DataFrame, node: str, parents: str, with_path: bool = False, small: int = SMALL_GRAPH) -> DataFrame:
+    have = cut(links.select(F.col("parent").alias("node"), F.col("node").alias("descendant"), F.lit(1).cast("long").alias("distance")))
+    reach, parts = 1, [have]
+    while True:
+        middle = have.filter(F.col("distance") == reach).select("node", F.col("descendant").alias("via"))
+        lists = parts[0]
+        for x in parts[1:]:
+            lists = lists.union(x)
+        sent = middle.join(lists.withColumnRenamed("node", "via"), "via").select("node", "descendant", (F.col("distance") + reach).alias("distance"))
+        new = sent.groupBy("node", "descendant").agg(F.min("distance").alias("distance")).join(lists, ["node", "descendant"], "left_anti")
+        have = cut(new)
+        if have.isEmpty():
+            return lists
+        parts.append(have)
+        reach *= 2
+
+
+def hierarchy(events: DataFrame, node: str, parents: str, with_path: bool = False) -> DataFrame:
     """(provenance_id, root_id, depth[, path]) over all nodes; a node on a cycle gives one row with depth -1, as root_id
     the smallest id on its cycles and a null path. Empty tables give no rows; see ``clean_links`` for nulls and repeats.
     """
     nodes, links = clean_links(events, node, parents)
-    peeled = peel(nodes, links, small)
-    rows = assign(peeled, with_path, small)
+    peeled = peel(nodes, links, with_path)
+    rows = assign(peeled, with_path)
     rings = peeled.cycles.select("node", "root_id", F.lit(-1).cast("long").alias("depth"), *[F.lit(None).cast("array<string>").alias("path")] * with_path)
     return rows.union(rings).withColumnRenamed("node", "provenance_id")
 

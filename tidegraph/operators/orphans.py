@@ -12,38 +12,74 @@ from tidegraph.plans.lineage import cut
 from tidegraph.plans.skew import salted_join
 
 
-def orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[tuple[str, str]], match: str = "simple", ref_id: str | None = None) -> DataFrame:
-    """The rows of ``refs`` whose composite key names no row of ``targets``, with ``null_mask`` (bit i: key i is null).
-
-    ``keys`` pairs each reference column with its target column. References are grouped by their null mask; each mask is
-    anti-joined on its non-null columns alone. ``match`` follows the SQL standard: ``simple``: a key with any null refers
-    to nothing and is never an orphan; ``full``: all null refers to nothing, partly null is always an orphan; ``partial``:
-    the non-null part must agree with some target. A key of nulls alone is never an orphan. Repeated references come out
-    as often as they stand there. Hot keys are split (``ref_id``: a column to split by, else all columns).
+Pairs = Sequence[tuple[str, str]]
+
+
+def orphans(
+    refs: DataFrame, targets: DataFrame, keys: Pairs | dict[str, Pairs], match: str = "simple", ref_id: str | None = None, moment: str | None = None
+) -> DataFrame:
+    """The rows of ``refs`` whose key names no row of ``targets``, with ``null_mask`` (bit i: the i-th key column is null).
+
+    ``keys`` pairs each reference column with its target column; a dictionary declares several keys by name, each of
+    which a row may break, and adds the name as ``ref_column``. References are grouped by their null mask; each mask is
+    anti-joined on its non-null columns alone, masks that agree in these in one join. ``match`` follows the SQL
+    standard: ``simple``: a key with any null refers to nothing and is never an orphan; ``full``: all null refers to
+    nothing, partly null is always an orphan; ``partial``: the non-null part must agree with some target. A key of nulls
+    alone is never an orphan. Repeated references come out as often as they stand there. Hot keys are split (``ref_id``:
+    a column to split by, else all columns).
+
+    With ``moment``, a column of times, targets stand for spans of life (``begin`` to before ``end``, see ``lifetimes``)
+    and one must hold the moment. Then ``reason`` is added: ``missing`` if no target agrees, ``deleted`` if one that does
+    began earlier, ``late`` if all begin later (a partly null key that ``full`` refuses is ``missing``).
     """
     if match not in ("simple", "full", "partial"):
         raise ValueError(f"unknown match {match}")
+    named = keys if isinstance(keys, dict) else {"": keys}
+    columns = list(dict.fromkeys(r for pairs in named.values() for r, _ in pairs))
     mask = F.lit(0)
-    for i, (r, _) in enumerate(keys):
+    for i, r in enumerate(columns):
         mask = mask + F.when(F.col(r).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
     marked = refs.withColumn("null_mask", mask)
+    kept = [*refs.columns, "null_mask", *["ref_column"] * isinstance(keys, dict)]
+    if moment:
+        marked, targets = cut(marked), cut(targets)
+    groups: dict[tuple[str, ...], DataFrame] = {}
+    for name, pairs in named.items():
+        own = sum(1 << columns.index(r) for r, _ in pairs)
+        for bits in product((0, 1), repeat=len(pairs)):
+            number = sum(b << columns.index(r) for (r, _), b in zip(pairs, bits, strict=True))
+            used = [k for k, b in zip(pairs, bits, strict=True) if not b]
+            if not used or (number and match == "simple"):
+                continue
+            mine = marked.filter(F.col("null_mask").bitwiseAND(F.lit(own)) == number)
+            on = () if number and match == "full" else tuple(f"__t_{t}" for _, t in used)
+            mine = mine.select("*", *([F.lit(name).alias("ref_column")] if isinstance(keys, dict) else []), *[F.col(r).alias(f"__t_{t}") for r, t in used if on])
+            groups[on] = groups[on].unionByName(mine) if on in groups else mine
     spread = F.col(ref_id) if ref_id else F.struct(*refs.columns)
     out: DataFrame | None = None
-    for bits in product((0, 1), repeat=len(keys)):
-        number = sum(b << i for i, b in enumerate(bits))
-        used = [k for k, b in zip(keys, bits, strict=True) if not b]
-        if not used or (number and match == "simple"):
-            continue
-        mine = marked.filter(F.col("null_mask") == number)
-        if not number or match == "partial":
-            there = targets.select(*[F.col(t).alias(r) for r, t in used]).dropna().distinct()
-            mine = salted_join(mine, there, [r for r, _ in used], "left_anti", spread)
-        mine = mine.select(*refs.columns, "null_mask")
+    for on, mine in groups.items():
+        if on:
+            there = targets.select(*[F.col(t.removeprefix("__t_")).alias(t) for t in on], *["begin", "end"] * bool(moment)).dropna(subset=list(on))
+            mine = _at_moment(mine, there, list(on), spread, moment) if moment else salted_join(mine, there.distinct(), list(on), "left_anti", spread)
+        elif moment:
+            mine = mine.withColumn("reason", F.lit("missing"))
+        mine = mine.select(*kept, *["reason"] * bool(moment))
         out = mine if out is None else out.unionByName(mine)
     assert out is not None
     return out
 
 
+def _at_moment(refs: DataFrame, spans: DataFrame, on: list[str], spread: Column, moment: str) -> DataFrame:
+    """References that no span of their key holds at their moment, with ``reason``. The anti-join runs first, on key and
+    moment; only its few survivors, kept, meet the first begin of their key."""
+    held = F.col("__begin") <= F.col(moment)
+    spans = spans.withColumnsRenamed({"begin": "__begin", "end": "__end"})
+    out = cut(salted_join(refs, spans.filter("__begin < __end"), on, "left_anti", spread, held & (F.col(moment) < F.col("__end"))))
+    first = spans.groupBy(*on).agg(F.min(F.when(F.col("__begin") < F.col("__end"), F.col("__begin"))).alias("__first"), F.lit(True).alias("__known"))
+    out = salted_join(out, first, on, "left", spread)
+    return out.withColumn("reason", F.when(F.col("__known").isNull(), "missing").when(F.col("__first") <= F.col(moment), "deleted").otherwise("late"))
+
+
 def lifetimes(rows: DataFrame, key: Column, record: Column, begin: str, end: str | None = None, salts: int = 32) -> DataFrame:
     """(key, begin, end): the disjoint spans in which some record of the key is live; end null: for ever.
 
@@ -67,39 +103,9 @@ def lifetimes(rows: DataFrame, key: Column, record: Column, begin: str, end: str
     return merged(merged(spans, ["key", "part"]).drop("part"), ["key"]).select("key", F.col("b").alias("begin"), F.col("e").alias("end"))
 
 
-def unresolved(refs: DataFrame, spans: DataFrame, spread: Column) -> DataFrame:
-    """References (key, moment, ...) that no span of their key holds at their moment, with ``reason``:
-    ``missing`` if the key has no span, ``deleted`` if one began earlier, ``late`` if all begin later.
-
-    Null keys refer to nothing. The anti-join runs first, on key and moment, with hot keys split; only its few
-    survivors meet the first begin of their key. Both sides are computed once and kept, as both joins and the counts of
-    their hot keys read them.
-    """
-    refs, spans = cut(refs), cut(spans)
-    live = spans.select("key", "begin", "end").filter("begin < end")
-    out = salted_join(refs.filter("key IS NOT NULL"), live, ["key"], "left_anti", spread, (F.col("begin") <= F.col("moment")) & (F.col("moment") < F.col("end")))
-    first = spans.groupBy("key").agg(F.min(F.when(F.col("begin") < F.col("end"), F.col("begin"))).alias("first_begin"), F.lit(True).alias("known"))
-    out = salted_join(cut(out), first, ["key"], "left", spread)
-    reason = F.when(F.col("known").isNull(), "missing").when(F.col("first_begin") <= F.col("moment"), "deleted").otherwise("late")
-    return out.withColumn("reason", reason).drop("known", "first_begin")
-
-
-def one_per_reference(refs: DataFrame, ref_key: str, columns: Sequence[str], valid: dict[str, Column], moment: str) -> DataFrame:
-    """(ref_column, ref_key, key, moment): a row for each reference column with a value, by the null mask of the row.
-
-    Rows with one ``ref_key`` are deliveries of the same reference, which counts at its earliest ``moment``.
-    """
-    cols = [F.when(valid[c], F.col(c)).alias(c) for c in columns]
-    first = refs.select(ref_key, *cols, F.col(moment).alias("moment")).groupBy(ref_key).agg(
-        F.min(F.struct("moment", *columns)).alias("r")
-    )
-    flat = first.select(F.col(ref_key).cast("string").alias("ref_key"), "r.*")
-    mask = sum((F.when(F.col(c).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(columns)), F.lit(0))
-    flat = flat.withColumn("null_mask", mask)
-    out: DataFrame | None = None
-    for i, c in enumerate(columns):
-        mine = flat.filter(F.col("null_mask").bitwiseAND(F.lit(1 << i)) == 0)
-        mine = mine.select(F.lit(c).alias("ref_column"), "ref_key", F.col(c).alias("key"), F.col("moment").cast("timestamp_ntz").alias("moment"))
-        out = mine if out is None else out.union(mine)
-    assert out is not None
-    return out
+def first_deliveries(refs: DataFrame, ref_key: str, columns: dict[str, Column], moment: str) -> DataFrame:
+    """(ref_key, moment, columns): each reference once, as of its earliest ``moment``; rows with one ``ref_key`` are
+    deliveries of the same. ``columns``: the values by name, null where a value is no reference."""
+    rows = refs.select(ref_key, *[v.alias(c) for c, v in columns.items()], F.col(moment).cast("timestamp_ntz").alias("moment"))
+    first = rows.groupBy(ref_key).agg(F.min(F.struct("moment", *columns)).alias("r"))
+    return first.select(F.col(ref_key).cast("string").alias("ref_key"), "r.*")
