@@ -52,3 +52,20 @@ def test_plain_top_n_with_null_groups_and_repeated_rows(spark):
     assert topn.top_n(df.limit(0), ["g"], [F.col("v")], 2).count() == 0
     with pytest.raises(ValueError):
         topn.top_n(df, ["g"], [F.col("v")], 0)
+
+
+def test_no_task_sees_a_group_whole_that_holds_a_third_of_the_rows(spark):
+    n = 30_000
+    rows = [(1, 1, i, i, float(i * 7919 % 1000), i) for i in range(n // 3)] + [(i % 500, 2, i, i, float(i % 37), None) for i in range(n - n // 3)]
+    candidates = spark.createDataFrame(rows, "receipt_id long, seed_node long, node_id long, record_id long, energy_score double, rank int")
+    group = ["receipt_id", "seed_node"]
+    one = topn.one_candidate(candidates, group, ["node_id", "record_id"], "energy_score", "rank")
+    order = [F.col("energy_score").desc(), F.col("rank").asc_nulls_last(), F.col("node_id"), F.col("record_id")]
+    salted = one.filter("seed_node = 1").repartitionByRange(8, *[F.col(g) for g in group], *order).withColumn("part", F.spark_partition_id())
+    spread = salted.groupBy("part").count().agg(F.max("count")).first()[0]
+    assert spread < n // 3 / 3
+    receipts = spark.createDataFrame([(1, [1, 2]), (7, [2])], "receipt_id long, seed_nodes array<long>")
+    got = topn.best_candidates(candidates, receipts, hot_rows=1000, hot_share=0.01)
+    best = sorted((r for r in rows if r[:2] == (1, 1)), key=lambda r: (-r[4], r[5], r[2], r[3]))[:5]
+    assert sorted(tuple(r)[2:4] for r in got.filter("receipt_id = 1 AND seed_node = 1").collect()) == sorted(r[2:4] for r in best)
+    assert got.count() == 15

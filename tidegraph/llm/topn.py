@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegraph.plans.lineage import cut
+
 #: A group is hot from so many rows on, if it also holds HOT_SHARE of all rows (so at most 1 / HOT_SHARE groups are hot
 #: and their table may be broadcast at any scale).
 HOT_ROWS = 20_000
@@ -30,7 +32,8 @@ def top_n(
     Exact group counts part the groups. Light groups go through an ordinary window. The rows of hot groups are salted by
     range: sorted by group and order over many partitions, each of which keeps its own first ``n`` per group, from which
     a window takes the final ones; no task sees more of a group than its range and ``n`` rows of each other range.
-    Repeated rows take a place each. An empty table gives no rows. Columns are kept as they are.
+    Repeated rows take a place each. An empty table gives no rows. Columns are kept as they are. ``rows`` are read
+    several times: keep them first if they are dear.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
@@ -38,7 +41,7 @@ def top_n(
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    hot = counts.filter((F.col("__n") >= hot_rows) & (F.col("__n") >= hot_share * total.scalar()))
+    hot = cut(counts.filter((F.col("__n") >= hot_rows) & (F.col("__n") >= hot_share * total.scalar())).select(*group))
     keys = [f"__g{i}" for i in range(len(group))]
     hot = F.broadcast(hot.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)]))
     same = F.lit(True)
@@ -58,9 +61,12 @@ def seeds(receipts: DataFrame) -> DataFrame:
 
 
 def best_candidates(candidates: DataFrame, receipts: DataFrame, n: int = 5, **split) -> DataFrame:
-    """The ``n`` best candidates of each receipt and seed: score descending, rank ascending (null last), then ids."""
+    """The ``n`` best candidates of each receipt and seed: score descending, rank ascending (null last), then ids.
+
+    Groups are cut to ``n`` rows before they meet the seeds, as a join by group would bring a hot one into one task.
+    """
     group = ["receipt_id", "seed_node"]
-    rows = candidates.select(*group, "node_id", "record_id", "energy_score", "rank")
-    one = one_candidate(rows, group, ["node_id", "record_id"], "energy_score", "rank").join(seeds(receipts), group, "left_semi")
+    rows = candidates.select(*group, "node_id", "record_id", "energy_score", "rank").dropna(subset=group)
+    one = cut(one_candidate(rows, group, ["node_id", "record_id"], "energy_score", "rank"))
     order = [F.col("energy_score").desc(), F.col("rank").asc_nulls_last(), F.col("node_id").asc_nulls_last(), F.col("record_id").asc_nulls_last()]
-    return top_n(one, group, order, n, **split)
+    return top_n(one, group, order, n, **split).join(seeds(receipts), group, "left_semi")
