@@ -44,10 +44,14 @@ def test_pairs_and_shares_equal_brute_force_for_light_and_hot_phrases(spark):
         texts = corpus(seed)
         df = spark.createDataFrame([(i, t, "clash") for i, t in texts.items()], "doc_id long, text string, phrase string").repartition(4)
         pairs, shares = brute(texts, 40)
-        got = spans.Shared(df, span=40, phrase=12, many=many)
+        got = spans.Shared(df, span=40, phrase=12, many=many, **({} if many > 1 else {"phrases": 5, "stream": 300}))
         found = [tuple(r) for r in got.pairs().collect()]
         assert len(found) == len(set(found)) and set(found) == pairs
         assert {r["doc_id"]: (r["n_chars"], r["shared_chars"]) for r in got.shares().collect()} == shares
+        same = {i: min(j for j, u in texts.items() if u == t) if t and len(t) >= 40 else i for i, t in texts.items() if t is not None}
+        near = {i: len({same[b if a == i else a] for a, b in pairs if i in (a, b)} - {same[i]}) for i in same}
+        linked = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.linked().collect()}
+        assert linked == {i: (same[i], near[i]) for i in same}
 
 
 def test_empty_table_null_ids_and_repeated_ids(spark):

@@ -58,7 +58,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return spans.Shared(table(spark, d, "documents")).shares()
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts, p7_found, p7_leaked_items, p8_found, p8_shares)}
+def p8_linked(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document the class of equal texts and the number of different texts it shares such spans with."""
+    return spans.Shared(table(spark, d, "documents")).linked()
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_positions, p6_ids, p6_decoded, p6_token_counts, p7_found, p7_leaked_items, p8_found, p8_shares, p8_linked)}
 
 _TOP = """WITH s AS (SELECT DISTINCT receipt_id, seed_node FROM (SELECT receipt_id, unnest(seed_nodes) AS seed_node FROM wave_query_receipt) WHERE seed_node IS NOT NULL AND receipt_id IS NOT NULL),
 c AS (SELECT receipt_id, seed_node, node_id, record_id, energy_score + 0.0 AS energy_score, rank FROM ranked_candidate c
@@ -73,6 +78,11 @@ _GRAMS = """WITH g AS (SELECT doc_id, i, hash(substr(text, i, 256)) AS h FROM (S
 SQL = {
     "p8_found": _GRAMS
     + """s AS (SELECT DISTINCT doc_id, h FROM g) SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id""",
+    "p8_linked": _GRAMS
+    + """k AS (SELECT doc_id, CASE WHEN length(text) >= 256 THEN min(doc_id) OVER (PARTITION BY text) ELSE doc_id END AS class_id FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT class_id, h FROM g JOIN k ON g.doc_id = k.doc_id),
+l AS (SELECT a.class_id, count(DISTINCT b.class_id) AS n FROM s a JOIN s b ON a.h = b.h AND a.class_id <> b.class_id GROUP BY 1)
+SELECT k.doc_id, k.class_id, coalesce(l.n, 0) AS n_links FROM k LEFT JOIN l ON k.class_id = l.class_id""",
     "p8_shares": _GRAMS
     + """k AS (SELECT h FROM g GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 c AS (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS p FROM g WHERE h IN (SELECT h FROM k)),

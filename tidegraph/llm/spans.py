@@ -2,9 +2,10 @@
 
 1. Winnowing takes phrases of PHRASE code points from every text such that any shared span of ``span`` or more holds a
    phrase that both texts yield. A phrase that two texts yield recurs.
-2. The texts that yield a recurring phrase (no other can share a span) go by blocks; each block's recurring phrases are
-   compiled into an Aho-Corasick automaton, a shard of bounded size, through which the block's texts are streamed. That
-   locates every occurrence of the phrases, and keeps the text around it as far as a span needs it.
+2. Recurring phrases are confirmed passages. They are compiled into Aho-Corasick automata of bounded size, sharded by the
+   text in which they stand first, so that a text's phrases fall into few shards. Every text is streamed through the
+   automata that its fingerprints touch (no other can hold a span), which locates every occurrence of their phrases
+   and keeps the text around it as far as a span needs it. Shards that very many texts touch are copied and split.
 3. Occurrences of a phrase are compared by their surroundings. Phrases with few occurrences are compared directly, those
    with many through the classes of equal windows, so that rows never meet that share no whole span.
 
@@ -21,13 +22,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.blocks import blocks
-from tidegraph.llm.winnow import fingerprints
+from tidegraph.llm.winnow import fingerprints, rolling
 from tidegraph.plans.lineage import cut
 from tidegraph.plans.skew import salted_join
 
 SPAN = 256
 PHRASE = 64
 BLOCK = 2_000_000
+#: Recurring phrases in one automaton, and code points of texts that one copy of it is streamed.
+PHRASES, STREAM = 5_000, 16_000_000
+#: Ids (of 8 bytes) that are broadcast at most.
+BROADCAST_IDS = 1_000_000
+#: Odd multipliers of the two rolling hashes of a window.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: A phrase with more occurrences than this is compared through classes of equal windows.
 MANY = 200
 
@@ -48,38 +55,56 @@ def _phrases(span: int, phrase: int):
     return run
 
 
+def _passages(phrase: int):
+    """(shard, phrase, text) of the recurring phrases that a text was chosen to lend its letters to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out += [(o["shard"], o["phrase"], text[o["at"] : o["at"] + phrase]) for o in own]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            types = [pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "phrase", "text"])
+
+    return run
+
+
 def _locate(span: int, phrase: int):
+    """Texts streamed through the automata of their shards. Rows come by shard and salt, passages before texts."""
     reach = span - phrase
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        def block(ids, texts, places, names):
-            shard = ahocorasick.Automaton()
-            for t, at, ph in zip(texts, places, names, strict=True):
-                for a, p in zip(at, ph, strict=True):
-                    shard.add_word(t[a : a + phrase], p)
-            shard.make_automaton()
-            out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for i, t in zip(ids, texts, strict=True):
-                for end, p in shard.iter(t):
-                    a = end - phrase + 1
-                    for column, v in zip(out, (p, i, a, t[max(0, a - reach) : a], t[a : a + phrase + reach]), strict=True):
-                        column.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], names=["phrase", "doc_id", "at", "before", "after"])
+        names = ["phrase", "doc_id", "at", "before", "after"]
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+
+        def some(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-        held: tuple[list, list, list, list] = ([], [], [], [])
-        size = 0
+        here, automaton, ready = None, None, False
+        hold: list[tuple] = []
         for batch in batches:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "places", "names")], strict=True):
-                if held[0] and size + len(row[1]) > BLOCK:
-                    yield block(*held)
-                    held, size = ([], [], [], []), 0
-                for column, v in zip(held, row, strict=True):
-                    column.append(v)
-                size += len(row[1])
-        if held[0]:
-            yield block(*held)
+            for shard, salt, name, doc, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if (shard, salt) != here:
+                    here, automaton, ready = (shard, salt), ahocorasick.Automaton(), False
+                if doc is None:
+                    automaton.add_word(text, name)
+                    continue
+                if not ready:
+                    automaton.make_automaton()
+                    ready = True
+                if automaton.kind != ahocorasick.AHOCORASICK:
+                    continue
+                for end, p in automaton.iter(text):
+                    a = end - phrase + 1
+                    hold.append((p, doc, a, text[max(0, a - reach) : a], text[a : a + phrase + reach]))
+                    if len(hold) >= 20_000:
+                        yield some(hold)
+                        hold = []
+        yield some(hold)
 
     return run
 
@@ -156,30 +181,40 @@ def _compare(span: int, phrase: int):
 
 def _windows(span: int, phrase: int):
     """Of each occurrence, a row for every window of ``span`` code points that holds the phrase: how far it reaches to the
-    left, two hashes of its text, and the code point before it."""
-    from hashlib import blake2b
+    left, two rolling hashes of its text, and the code point before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            for p, i, at, before, after in zip(*[batch.column(c).to_pylist() for c in ("phrase", "doc_id", "at", "before", "after")], strict=True):
-                text, n = before + after, len(before)
-                for left in range(max(0, span - len(after)), n + 1):
-                    begin = n - left
-                    row = (p, i, at, left, blake2b(text[begin : begin + span].encode(), digest_size=16).digest(), ord(text[begin - 1]) if begin else -1)
-                    for column, v in zip(out, row, strict=True):
-                        column.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["phrase", "doc_id", "at", "left", "window", "prior"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2_000):
+                batch = whole.slice(at, 2_000)
+                before = batch.column(3).to_pylist()
+                n = np.array([len(b) for b in before], np.int64)
+                codes, sizes = code_points([b + a for b, a in zip(before, batch.column(4).to_pylist(), strict=True)])
+                least = np.maximum(0, span - (sizes - n))
+                many = np.maximum(0, np.minimum(n, sizes) - least + 1)
+                row = np.repeat(np.arange(len(n)), many)
+                left = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + least[row]
+                begin = n[row] - left
+                place = (np.cumsum(sizes) - sizes)[row] + begin
+                hashes = [rolling(codes, span, m)[place].view(np.int64) if len(place) else np.empty(0, np.int64) for m in MULTIPLIERS]
+                prior = np.where(begin > 0, codes[np.maximum(place - 1, 0)].astype(np.int64), -1) if len(place) else np.empty(0, np.int64)
+                kept = [batch.column(k).take(pa.array(row)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [*kept, pa.array(left.astype(np.int32)), *map(pa.array, hashes), pa.array(prior.astype(np.int32))],
+                    names=["phrase", "doc_id", "at", "left", "window", "window_2", "prior"],
+                )
 
     return run
 
 
+WINDOW_KEY = ["phrase", "left", "window", "window_2"]
+
+
 class Shared:
-    """Spans shared between texts of ``documents``; see the module. Null texts and null ids share nothing; an id counts as
-    one text, its first in the order of their hashes, if rows repeat it. Other columns are left out."""
+    """Spans shared between texts of ``documents``; see the module. Null texts and null ids share nothing; rows that repeat
+    an id with its text count once (of different texts under one id the smallest counts). Other columns are left out."""
 
-    def __init__(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, phrase: int = PHRASE, many: int = MANY):
+    def __init__(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, phrase: int = PHRASE, many: int = MANY, phrases: int = PHRASES, stream: int = STREAM):
         self.span, self.phrase = span, phrase
         docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
         long = docs.filter(F.char_length("text") >= span)
@@ -192,10 +227,29 @@ class Shared:
         copies = self.members.filter("rep <> doc_id").select("doc_id")
         marks = long.mapInArrow(_phrases(span, phrase), "doc_id long, at int, phrase long")
         marks = cut(marks.join(copies, "doc_id", "left_anti"))
-        again = marks.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("phrase")
-        places = salted_join(marks, again, ["phrase"], "inner", F.col("doc_id")).groupBy("doc_id").agg(F.collect_list("at").alias("places"), F.collect_list("phrase").alias("names"))
-        found = places.join(long, "doc_id").mapInArrow(_locate(span, phrase), "phrase long, doc_id long, at int, before string, after string")
-        self.occurrences = cut(found)
+        # Of each recurring phrase the first occurrence, which names its shard: a text's phrases fall into few of these.
+        again = marks.groupBy("phrase").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).filter("first.doc_id <> last")
+        again = cut(again.select("phrase", "first"))
+        shards = -(-again.count() // phrases) or 1
+        own = F.pmod(F.xxhash64("first.doc_id", F.floor(F.col("first.at") / BLOCK)), F.lit(shards)).alias("shard")
+        places = salted_join(marks, again.select("phrase", "first", own), ["phrase"], "inner", F.col("doc_id"))
+        mine = F.when((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.at") == F.col("at")), F.struct("shard", "phrase", "at"))
+        touched = cut(places.groupBy("doc_id").agg(F.collect_list(mine).alias("own"), F.collect_set("shard").alias("shards")))
+        # Texts without a recurring phrase share no span. While ids of the others are counted to be few, they are
+        # broadcast, so that the scan leaves these texts out.
+        if touched.count() <= BROADCAST_IDS:
+            long = long.join(F.broadcast(touched.select("doc_id")), "doc_id", "left_semi")
+        texts = cut(touched.join(long.groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id"))
+        passages = texts.select("text", "own").mapInArrow(_passages(phrase), "shard long, phrase long, text string").dropDuplicates(["phrase"])
+        streams = texts.select("doc_id", "text", F.explode("shards").alias("shard"))
+        sizes = texts.select(F.char_length("text").alias("n"), F.explode("shards").alias("shard")).groupBy("shard").agg(F.sum("n").alias("n"))
+        salts = cut(sizes.select("shard", (F.floor(F.col("n") / stream) + 1).alias("salts")))
+        if shards <= BROADCAST_IDS:
+            salts = F.broadcast(salts)
+        passages = passages.join(salts, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "phrase", F.lit(None).cast("long").alias("doc_id"), "text")
+        streams = streams.join(salts, "shard").select("shard", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), F.lit(None).cast("long").alias("phrase"), "doc_id", "text")
+        rows = passages.union(streams).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("doc_id").asc_nulls_first())
+        self.occurrences = cut(rows.mapInArrow(_locate(span, phrase), "phrase long, doc_id long, at int, before string, after string"))
         counts = self.occurrences.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
         hot = counts.filter(F.col("n") > many).select("phrase")
         cold = self.occurrences.join(hot, "phrase", "left_anti")
@@ -203,28 +257,44 @@ class Shared:
         kept = "doc_id_a long, doc_id_b long, at_a int, at_b int, before int, after int"
         self.matches = cut(cold.mapInArrow(_compare(span, phrase), kept))
         hot_rows = self.occurrences.join(hot, "phrase", "left_semi")
-        self.windows = hot_rows.mapInArrow(_windows(span, phrase), "phrase long, doc_id long, at int, left int, window binary, prior int")
+        self.windows = hot_rows.mapInArrow(_windows(span, phrase), "phrase long, doc_id long, at int, left int, window long, window_2 long, prior int")
 
-    def pairs(self) -> DataFrame:
-        """(doc_id_a, doc_id_b), each pair of texts that share a span, copies expanded."""
-        key = ["phrase", "left", "window"]
-        a = self.windows.select(*key, F.col("doc_id").alias("a"), F.col("prior").alias("pa"))
-        b = self.windows.select(*key, F.col("doc_id").alias("b"), F.col("prior").alias("pb"))
+    def links(self) -> DataFrame:
+        """(a, b), a < b: each pair of different texts that share a span, every text by its representative."""
+        a = self.windows.select(*WINDOW_KEY, F.col("doc_id").alias("a"), F.col("prior").alias("pa"))
+        b = self.windows.select(*WINDOW_KEY, F.col("doc_id").alias("b"), F.col("prior").alias("pb"))
         whole = self.span - self.phrase
-        met = salted_join(a, b, key, "inner", F.col("a")).filter("a < b").filter((F.col("left") == whole) | (F.col("pa") != F.col("pb")) | ((F.col("pa") == -1) & (F.col("pb") == -1)))
-        reps = self.matches.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).union(met.select("a", "b")).distinct()
+        first = (F.col("left") == whole) | (F.col("pa") != F.col("pb")) | ((F.col("pa") == -1) & (F.col("pb") == -1))
+        met = salted_join(a, b, WINDOW_KEY, "inner", F.col("a")).filter("a < b").filter(first)
+        return self.matches.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).union(met.select("a", "b")).distinct()
+
+    def linked(self) -> DataFrame:
+        """(doc_id, class_id, n_links) of every text: the smallest id of the texts equal to it, and how many different
+        other texts share a span with it. Linear in links between different texts; copies are not paired."""
+        links = self.links()
+        both = links.select(F.col("a").alias("class_id"), "b").union(links.select(F.col("b").alias("class_id"), "a"))
+        counts = both.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+        ids = self.sizes.select("doc_id").distinct().join(self.members, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
+        out = salted_join(ids, counts, ["class_id"], "left", F.col("doc_id"))
+        return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+    def pairs(self) -> DataFrame:
+        """(doc_id_a, doc_id_b), each pair of texts that share a span: ``links`` with their copies, and copies themselves.
+        Texts with very many copies are split over tasks; the rows are as many as the pairs."""
         of = self.members
-        wide = reps.join(of.select(F.col("rep").alias("a"), F.col("doc_id").alias("xa")), "a", "left").join(of.select(F.col("rep").alias("b"), F.col("doc_id").alias("xb")), "b", "left")
-        wide = wide.select(F.coalesce("xa", "a").alias("x"), F.coalesce("xb", "b").alias("y"))
-        within = of.select("rep", F.col("doc_id").alias("x")).join(of.select("rep", F.col("doc_id").alias("y")), "rep").filter("x < y").select("x", "y")
-        both = wide.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(within)
+        wide = salted_join(self.links(), of.select(F.col("rep").alias("a"), F.col("doc_id").alias("xa")), ["a"], "left", F.col("b"))
+        copies = of.select(F.col("rep").alias("b"), F.col("doc_id").alias("xb"))
+        spread = F.struct("a", "xa")
+        wide = salted_join(wide, copies, ["b"], "left", spread).select(F.coalesce("xa", "a").alias("x"), F.coalesce("xb", "b").alias("y"))
+        within = salted_join(of.select("rep", F.col("doc_id").alias("x")), of.select("rep", F.col("doc_id").alias("y")), ["rep"], "inner", F.col("x"))
+        both = wide.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(within.filter("x < y").select("x", "y"))
         return both.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
     def shares(self) -> DataFrame:
         """(doc_id, n_chars, shared_chars, shared_share): how much of each text lies in spans that another text holds too."""
         m = self.matches
         side = lambda s: m.select(F.col(f"doc_id_{s}").alias("doc_id"), (F.col(f"at_{s}") - F.col("before")).alias("b"), (F.col(f"at_{s}") + F.col("after")).alias("e"))
-        key = ["phrase", "left", "window"]
+        key = WINDOW_KEY
         classes = self.windows.groupBy(*key).agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select(*key)
         hot = salted_join(self.windows, classes, key, "left_semi", F.col("doc_id"))
         hot = hot.select("doc_id", (F.col("at") - F.col("left")).alias("b"), (F.col("at") - F.col("left") + self.span).alias("e"))

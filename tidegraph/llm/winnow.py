@@ -16,9 +16,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def rolling(codes: np.ndarray, k: int) -> np.ndarray:
+def rolling(codes: np.ndarray, k: int, multiplier: int = MULTIPLIER) -> np.ndarray:
     """Hashes of all k-grams of a stream (as many as it has symbols less k - 1), by doubling."""
-    h, size, power = codes.astype(np.uint64) + np.uint64(1), 1, MULTIPLIER
+    h, size, power = codes.astype(np.uint64) + np.uint64(1), 1, multiplier
     out, done, bits = None, 0, k
     if len(codes) < k:
         return np.empty(0, np.uint64)
