@@ -98,21 +98,22 @@ def _components(links: DataFrame) -> DataFrame:
 LEAF, CHAIN, REST = 0, 1, 2
 
 
-def _round(rest: DataFrame, number: int) -> DataFrame:
-    """One round over links (node, parent, w, inner), where ``w`` links and the nodes ``inner`` of chains lie in between.
+def _round(rest: DataFrame) -> DataFrame:
+    """One round over links (node, parent, w, inner, turn), where ``w`` links and the nodes ``inner`` of chains lie in
+    between. ``turn`` is the number of the round, as a column, so that all rounds have the same plan and compiled code.
 
     Rows by ``kind``: LEAF, the links of nodes without a child, which are peeled. CHAIN, the link of a node with one
     child and one parent that is peeled too, as its hash is smaller than that of both neighbours (so these aren't); its
     child is linked to its parent instead. REST, the links that are left, the lightest of parallel ones; ``child`` is set
     there for those that a later round may contract.
     """
-    order = lambda c: F.xxhash64(F.col(c), F.lit(number))
+    order = lambda c: F.xxhash64(F.col(c), F.col("turn"))
     kids = rest.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
-    ups = rest.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("parent", "w", "inner")).alias("up"))
+    ups = rest.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("parent", "w", "inner")).alias("up"), F.min("turn").alias("turn"))
     both = ups.join(kids, "node", "left")
     leaves = both.filter("n IS NULL").select("node", F.lit(True).alias("leaf"))
     links = rest.join(leaves, "node", "left")
-    chains = both.filter("n = 1 AND m = 1 AND child <> node").select("node", "child", "up")
+    chains = both.filter("n = 1 AND m = 1 AND child <> node").select("node", "child", "up", "turn")
     chosen = chains.filter((order("node") < order("child")) & (order("node") < order("up.parent")))
     edit = F.array(
         F.struct("node", F.col("up.parent").alias("parent"), F.lit(None).cast("struct<parent:string,w:bigint,inner:array<string>>").alias("to"), F.col("child")),
@@ -126,10 +127,10 @@ def _round(rest: DataFrame, number: int) -> DataFrame:
     inner = F.concat("to.inner", F.array("parent"), "inner")
     links = links.select(
         kind.alias("kind"), "node", F.when(moved, F.col("to.parent")).otherwise(F.col("parent")).alias("parent"),
-        F.when(moved, F.col("w") + F.col("to.w")).otherwise(F.col("w")).alias("w"), F.when(moved, inner).otherwise(F.col("inner")).alias("inner"), "child",
+        F.when(moved, F.col("w") + F.col("to.w")).otherwise(F.col("w")).alias("w"), F.when(moved, inner).otherwise(F.col("inner")).alias("inner"), "child", "turn",
     )
-    best = links.groupBy("kind", "node", "parent").agg(F.min(F.struct("w", "inner")).alias("b"), F.min("child").alias("child"))
-    return cut(best.select("kind", "node", "parent", "b.w", "b.inner", "child"))
+    best = links.groupBy("kind", "node", "parent").agg(F.min(F.struct("w", "inner")).alias("b"), F.min("child").alias("child"), F.min("turn").alias("turn"))
+    return cut(best.select("kind", "node", "parent", "b.w", "b.inner", "child", (F.col("turn") + 1).alias("turn")))
 
 
 def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
@@ -140,15 +141,15 @@ def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
     """
     spark = nodes.sparkSession
     no_inner = F.array().cast("array<string>") if with_path else F.lit(None).cast("array<string>")
-    rest = links.select("node", "parent", F.lit(1).cast("long").alias("w"), no_inner.alias("inner"))
+    rest = links.select("node", "parent", F.lit(1).cast("long").alias("w"), no_inner.alias("inner"), F.lit(0).alias("turn"))
     rounds: list[DataFrame] = []
     chains: list[DataFrame] = []
     cycles = spark.createDataFrame([], "node string, root_id string")
-    n_links, number, found_cycles = links.count(), 0, False
+    n_links, found_cycles = links.count(), False
     while n_links:
-        done = _round(rest, number)
+        done = _round(rest)
         counts = {r[0]: r[1] for r in done.groupBy("kind").count().collect()}  # three rows
-        rest, n_links, number = done.filter(F.col("kind") == REST).select("node", "parent", "w", "inner"), counts.get(REST, 0), number + 1
+        rest, n_links = done.filter(F.col("kind") == REST).select("node", "parent", "w", "inner", "turn"), counts.get(REST, 0)
         if counts.get(LEAF) or counts.get(CHAIN):
             # Chains count as peeled after the leaves of their round, which may hang on them.
             rounds += [done.filter(F.col("kind") == kind).select("node", "parent", "w", "inner") for kind in (LEAF, CHAIN) if counts.get(kind)]
@@ -159,7 +160,7 @@ def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
                 raise AssertionError("links are left that no peeling removes")
             cycles, found_cycles = _unfold_cycles(_components(rest.select("node", "parent")), chains), True
             gone = cycles.select("node")
-            rest = cut(rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent", "w", "inner"))
+            rest = cut(rest.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").select("node", "parent", "w", "inner", "turn"))
             n_links = rest.count()
     off = links
     if found_cycles:
