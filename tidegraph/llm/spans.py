@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegraph.llm.blocks import blocks
@@ -224,6 +224,7 @@ class Shared:
         several = one.filter("rep <> last").select("digest", "rep")
         #: (rep, doc_id) of the texts that occur more than once, the representative included.
         self.members = cut(salted_join(digest.select("digest", "doc_id"), several, ["digest"], "inner", F.col("doc_id")).select("rep", "doc_id").distinct())
+        self.few = self.members.count() <= BROADCAST_IDS
         copies = self.members.filter("rep <> doc_id").select("doc_id")
         marks = long.mapInArrow(_phrases(span, phrase), "doc_id long, at int, phrase long")
         marks = cut(marks.join(copies, "doc_id", "left_anti"))
@@ -251,42 +252,52 @@ class Shared:
         rows = passages.union(streams).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("doc_id").asc_nulls_first())
         self.occurrences = cut(rows.mapInArrow(_locate(span, phrase), "phrase long, doc_id long, at int, before string, after string"))
         counts = self.occurrences.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-        hot = counts.filter(F.col("n") > many).select("phrase")
-        cold = self.occurrences.join(hot, "phrase", "left_anti")
+        hot = cut(counts.filter(F.col("n") > many).select("phrase"))
+        #: Whether any phrase is compared through classes of windows.
+        self.hot = not hot.isEmpty()
+        cold = self.occurrences.join(hot, "phrase", "left_anti") if self.hot else self.occurrences
         cold = cold.repartition("phrase").sortWithinPartitions("phrase", "doc_id")
         kept = "doc_id_a long, doc_id_b long, at_a int, at_b int, before int, after int"
         self.matches = cut(cold.mapInArrow(_compare(span, phrase), kept))
         hot_rows = self.occurrences.join(hot, "phrase", "left_semi")
-        self.windows = hot_rows.mapInArrow(_windows(span, phrase), "phrase long, doc_id long, at int, left int, window long, window_2 long, prior int")
+        windows = hot_rows.mapInArrow(_windows(span, phrase), "phrase long, doc_id long, at int, left int, window long, window_2 long, prior int")
+        self.windows = cut(windows) if self.hot else windows
 
     def links(self) -> DataFrame:
         """(a, b), a < b: each pair of different texts that share a span, every text by its representative."""
+        cold = self.matches.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
+        if not self.hot:
+            return cold.distinct()
         a = self.windows.select(*WINDOW_KEY, F.col("doc_id").alias("a"), F.col("prior").alias("pa"))
         b = self.windows.select(*WINDOW_KEY, F.col("doc_id").alias("b"), F.col("prior").alias("pb"))
         whole = self.span - self.phrase
         first = (F.col("left") == whole) | (F.col("pa") != F.col("pb")) | ((F.col("pa") == -1) & (F.col("pb") == -1))
         met = salted_join(a, b, WINDOW_KEY, "inner", F.col("a")).filter("a < b").filter(first)
-        return self.matches.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).union(met.select("a", "b")).distinct()
+        return cold.union(met.select("a", "b")).distinct()
+
+    def _with_copies(self, rows: DataFrame, key: str, name: str, how: str, spread: Column) -> DataFrame:
+        """``rows`` with a row for each text (``name``) equal to the representative ``key``."""
+        copies = self.members.select(F.col("rep").alias(key), F.col("doc_id").alias(name))
+        if self.few:  # counted
+            return rows.join(F.broadcast(copies), key, how)
+        return salted_join(cut(rows), copies, [key], how, spread)
 
     def linked(self) -> DataFrame:
         """(doc_id, class_id, n_links) of every text: the smallest id of the texts equal to it, and how many different
         other texts share a span with it. Linear in links between different texts; copies are not paired."""
-        links = self.links()
+        links = cut(self.links())
         both = links.select(F.col("a").alias("class_id"), "b").union(links.select(F.col("b").alias("class_id"), "a"))
         counts = both.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
         ids = self.sizes.select("doc_id").distinct().join(self.members, "doc_id", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"))
-        out = salted_join(ids, counts, ["class_id"], "left", F.col("doc_id"))
+        out = salted_join(cut(ids), counts, ["class_id"], "left", F.col("doc_id"))
         return out.select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
     def pairs(self) -> DataFrame:
         """(doc_id_a, doc_id_b), each pair of texts that share a span: ``links`` with their copies, and copies themselves.
         Texts with very many copies are split over tasks; the rows are as many as the pairs."""
-        of = self.members
-        wide = salted_join(self.links(), of.select(F.col("rep").alias("a"), F.col("doc_id").alias("xa")), ["a"], "left", F.col("b"))
-        copies = of.select(F.col("rep").alias("b"), F.col("doc_id").alias("xb"))
-        spread = F.struct("a", "xa")
-        wide = salted_join(wide, copies, ["b"], "left", spread).select(F.coalesce("xa", "a").alias("x"), F.coalesce("xb", "b").alias("y"))
-        within = salted_join(of.select("rep", F.col("doc_id").alias("x")), of.select("rep", F.col("doc_id").alias("y")), ["rep"], "inner", F.col("x"))
+        wide = self._with_copies(self.links(), "a", "xa", "left", F.col("b"))
+        wide = self._with_copies(wide, "b", "xb", "left", F.struct("a", "xa")).select(F.coalesce("xa", "a").alias("x"), F.coalesce("xb", "b").alias("y"))
+        within = self._with_copies(self.members.select("rep", F.col("doc_id").alias("x")), "rep", "y", "inner", F.col("x"))
         both = wide.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(within.filter("x < y").select("x", "y"))
         return both.select(F.col("x").alias("doc_id_a"), F.col("y").alias("doc_id_b"))
 
@@ -295,10 +306,11 @@ class Shared:
         m = self.matches
         side = lambda s: m.select(F.col(f"doc_id_{s}").alias("doc_id"), (F.col(f"at_{s}") - F.col("before")).alias("b"), (F.col(f"at_{s}") + F.col("after")).alias("e"))
         key = WINDOW_KEY
+        spans = side("a").union(side("b"))
         classes = self.windows.groupBy(*key).agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x <> y").select(*key)
         hot = salted_join(self.windows, classes, key, "left_semi", F.col("doc_id"))
         hot = hot.select("doc_id", (F.col("at") - F.col("left")).alias("b"), (F.col("at") - F.col("left") + self.span).alias("e"))
-        spans = side("a").union(side("b")).union(hot).distinct()
+        spans = (spans.union(hot) if self.hot else spans).distinct()
         w = Window.partitionBy("doc_id").orderBy("b", "e").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.max("e").over(w), F.lit(0))
         covered = spans.withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("b"), before))).groupBy("doc_id").agg(F.sum("new").alias("c"))
