@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidegraph.plans.lineage import cut
@@ -98,14 +98,14 @@ def _components(links: DataFrame) -> DataFrame:
 LEAF, CHAIN, REST = 0, 1, 2
 
 
-def _round(rest: DataFrame) -> DataFrame:
+def _round(rest: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """One round over links (node, parent, w, inner, turn), where ``w`` links and the nodes ``inner`` of chains lie in
     between. ``turn`` is the number of the round, as a column, so that all rounds have the same plan and compiled code.
 
     Rows by ``kind``: LEAF, the links of nodes without a child, which are peeled. CHAIN, the link of a node with one
     child and one parent that is peeled too, as its hash is smaller than that of both neighbours (so these aren't); its
-    child is linked to its parent instead. REST, the links that are left, the lightest of parallel ones; ``child`` is set
-    there for those that a later round may contract.
+    child, be it a leaf or not, is linked to its parent instead. So what is peeled hangs on nodes of later rounds alone.
+    REST, the links that are left, the lightest of parallel ones. Also returns the number of rows of each kind.
     """
     order = lambda c: F.xxhash64(F.col(c), F.col("turn"))
     kids = rest.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("child"))
@@ -123,14 +123,17 @@ def _round(rest: DataFrame) -> DataFrame:
     links = links.join(edits, ["node", "parent"], "left")
     drops = F.col("edited") & F.col("to").isNull()
     kind = F.when(F.col("leaf"), F.lit(LEAF)).when(drops, F.lit(CHAIN)).otherwise(F.lit(REST))
-    moved = F.col("to").isNotNull() & F.col("leaf").isNull()
+    moved = F.col("to").isNotNull()
     inner = F.concat("to.inner", F.array("parent"), "inner")
     links = links.select(
         kind.alias("kind"), "node", F.when(moved, F.col("to.parent")).otherwise(F.col("parent")).alias("parent"),
         F.when(moved, F.col("w") + F.col("to.w")).otherwise(F.col("w")).alias("w"), F.when(moved, inner).otherwise(F.col("inner")).alias("inner"), "child", "turn",
     )
     best = links.groupBy("kind", "node", "parent").agg(F.min(F.struct("w", "inner")).alias("b"), F.min("child").alias("child"), F.min("turn").alias("turn"))
-    return cut(best.select("kind", "node", "parent", "b.w", "b.inner", "child", (F.col("turn") + 1).alias("turn")))
+    out = best.select("kind", "node", "parent", "b.w", "b.inner", "child", (F.col("turn") + 1).alias("turn"))
+    seen = Observation()
+    out = cut(out.observe(seen, *[F.count(F.when(F.col("kind") == k, 1)).alias(str(k)) for k in (LEAF, CHAIN, REST)]))
+    return out, {int(k): n for k, n in seen.get.items()}
 
 
 def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
@@ -147,13 +150,11 @@ def peel(nodes: DataFrame, links: DataFrame, with_path: bool = False) -> Peeled:
     cycles = spark.createDataFrame([], "node string, root_id string")
     n_links, found_cycles = links.count(), False
     while n_links:
-        done = _round(rest)
-        counts = {r[0]: r[1] for r in done.groupBy("kind").count().collect()}  # three rows
-        rest, n_links = done.filter(F.col("kind") == REST).select("node", "parent", "w", "inner", "turn"), counts.get(REST, 0)
-        if counts.get(LEAF) or counts.get(CHAIN):
-            # Chains count as peeled after the leaves of their round, which may hang on them.
-            rounds += [done.filter(F.col("kind") == kind).select("node", "parent", "w", "inner") for kind in (LEAF, CHAIN) if counts.get(kind)]
-            if counts.get(CHAIN):
+        done, counts = _round(rest)
+        rest, n_links = done.filter(F.col("kind") == REST).select("node", "parent", "w", "inner", "turn"), counts[REST]
+        if counts[LEAF] or counts[CHAIN]:
+            rounds.append(done.filter(F.col("kind") != REST).select("node", "parent", "w", "inner"))
+            if counts[CHAIN]:
                 chains.append(done.filter(F.col("kind") == CHAIN).select("node", "parent", "child"))
         elif not _has_chains(rest):
             if found_cycles:
@@ -177,13 +178,19 @@ def _has_chains(rest: DataFrame) -> bool:
 
 
 def _unfold_cycles(cycles: DataFrame, chains: list[DataFrame]) -> DataFrame:
-    """Adds the contracted nodes of cycles: those whose child and parent are on the same one. Latest chains first."""
-    for some in reversed(chains):
+    """Adds the contracted nodes of cycles: those whose child and parent are on the same one. Each pass adds nodes between
+    those of the one before, so that passes grow with the logarithm of a cycle's length."""
+    every = chains[0] if chains else cycles.select("node", F.col("node").alias("parent"), F.col("node").alias("child"))
+    for x in chains[1:]:
+        every = every.union(x)
+    while True:
         up = cycles.select(F.col("node").alias("parent"), "root_id")
         down = cycles.select(F.col("node").alias("child"), "root_id")
-        new = some.join(up, "parent").join(down, ["child", "root_id"], "left_semi").select("node", "root_id")
-        cycles = cut(cycles.union(new))
-    return cycles
+        new = every.join(up, "parent").join(down, ["child", "root_id"], "left_semi").select("node", "root_id")
+        new = cut(new.join(cycles, "node", "left_anti"))
+        if new.isEmpty():
+            return cycles
+        cycles = cycles.union(new)
 
 
 def _name_cycles(cycles: DataFrame) -> DataFrame:
