@@ -178,19 +178,30 @@ def _has_chains(rest: DataFrame) -> bool:
 
 
 def _unfold_cycles(cycles: DataFrame, chains: list[DataFrame]) -> DataFrame:
-    """Adds the contracted nodes of cycles: those whose child and parent are on the same one. Each pass adds nodes between
-    those of the one before, so that passes grow with the logarithm of a cycle's length."""
-    every = chains[0] if chains else cycles.select("node", F.col("node").alias("parent"), F.col("node").alias("child"))
+    """Adds the contracted nodes of cycles. ``cycles`` are nodes that were never contracted; a contracted one lies on a
+    cycle if both the first such node above it and the first below it do. Pointers to these double their reach in each
+    pass, over the nodes contracted later."""
+    if not chains:
+        return cycles
+    every = chains[0]
     for x in chains[1:]:
         every = every.union(x)
+    every = cut(every.select("node", F.col("parent").alias("up"), F.col("child").alias("down"), F.lit(True).alias("moved")))
     while True:
-        up = cycles.select(F.col("node").alias("parent"), "root_id")
-        down = cycles.select(F.col("node").alias("child"), "root_id")
-        new = every.join(up, "parent").join(down, ["child", "root_id"], "left_semi").select("node", "root_id")
-        new = cut(new.join(cycles, "node", "left_anti"))
-        if new.isEmpty():
-            return cycles
-        cycles = cycles.union(new)
+        up = every.select(F.col("node").alias("up"), F.col("up").alias("up_2"))
+        down = every.select(F.col("node").alias("down"), F.col("down").alias("down_2"))
+        next_ = every.join(up, "up", "left").join(down, "down", "left")
+        moved = F.col("up_2").isNotNull() | F.col("down_2").isNotNull()
+        next_ = next_.select("node", F.coalesce("up_2", "up").alias("up"), F.coalesce("down_2", "down").alias("down"), moved.alias("moved"))
+        # Values out of an aggregation carry no constraints, which else multiply in the planner from pass to pass.
+        next_ = next_.groupBy("node").agg(F.min("up").alias("up"), F.min("down").alias("down"), F.max("moved").alias("moved"))
+        seen = Observation()
+        every = cut(next_.observe(seen, F.count(F.when(F.col("moved"), 1)).alias("n")))
+        if not seen.get["n"]:
+            break
+    above = cycles.select(F.col("node").alias("up"), "root_id")
+    below = cycles.select(F.col("node").alias("down"), "root_id")
+    return cycles.union(cut(every.join(above, "up").join(below, ["down", "root_id"], "left_semi").select("node", "root_id")))
 
 
 def _name_cycles(cycles: DataFrame) -> DataFrame:

@@ -30,7 +30,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; later plans start from the files, not from the lineage."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return without_estimates(df.checkpoint(eager=True))
+
+
+def without_estimates(kept: DataFrame) -> DataFrame:
+    """The rows of a checkpoint without the size and the constraints that the planner guessed for them.
+
+    A checkpoint inherits both from its plan. Sizes of joins are guessed as products, so that in a loop of joins their
+    digits multiply from round to round until planning takes longer than running.
+    """
+    spark = kept.sparkSession
+    try:
+        rows = kept._jdf.queryExecution().analyzed().rdd()
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, kept._jdf.schema(), False), spark)
+    except Exception:  # a session that isn't in this process, or another version
+        return kept
 
 
 def cut_by(df: DataFrame, *keys: str) -> DataFrame:
@@ -43,6 +57,7 @@ def cut_by(df: DataFrame, *keys: str) -> DataFrame:
     was = spark.conf.get(name)
     spark.conf.set(name, "false")
     try:
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
+        checkpoint_folder(spark)
+        return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).checkpoint(eager=True)
     finally:
         spark.conf.set(name, was)
