@@ -28,6 +28,8 @@ def test_commits_checkpoints_and_pinned_views(spark, tmp_path):
     assert [tuple(r) for r in db.records().collect()] == [("a", 1, "z")]
     assert sorted(r["record_id"] for r in db.records(first).collect()) == ["a", "b"]
     assert db.edges().count() == 1 and db.edges_of(2).count() == 1 and db.record("a").count() == 1
+    db.checkpoint()
+    assert db._folded().filter("is_deleted").count() == 3 and [tuple(r) for r in db.records().collect()] == [("a", 1, "z")]
     assert db.verify() == {"unresolved_edges": 1, "shared_nodes": 0}
     assert {r["node_id"]: r["energy"] for r in db.wave([1]).collect()} == {1: 1.0, 2: 0.675}
     for bad in ([edge("PUT", 1, 2, 11, 0)], [edge("PUT", 1, 2, 1, 2_000_000)], [record("PUT", "")], [record("ODD", "a")], [record("PUT", "a", 1, "p"), record("PUT", "a", 1, "q")]):

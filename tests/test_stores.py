@@ -234,3 +234,33 @@ def test_costs_and_fetches_are_of_all_pointers(spark, monkeypatch):
     met, fetch = [], payload.fetch
     monkeypatch.setattr(payload, "fetch", lambda p, docs: met.append(p.count()) or fetch(p, docs))
     assert stores.fetch_equivalence(spark, "").collect() == [] and met == [30]
+
+
+def test_a_snapshot_digest_moves_with_every_content_column(spark):
+    records, edges = [("r1", 1, b"x"), ("r2", 2, None)], [(1, 2, 3, 0.5), (2, 1, 4, 0.25)]
+    r = lambda rows: spark.createDataFrame(rows, "record_id string, node_id long, payload binary")
+    e = lambda rows: spark.createDataFrame(rows, "src long, dst long, edge_type int, weight double")
+    got = lambda a, b: {x["relation"]: x["digest"] for x in mutations.snapshot(r(a), e(b)).collect()}
+    first = got(records, edges)
+    assert got(records[::-1], edges[::-1]) == first
+    for other in ([("r1", 1, b"y"), records[1]], [("r1", 3, b"x"), records[1]], [("r9", 1, b"x"), records[1]]):
+        assert got(other, edges)["records"] != first["records"]
+    for other in ([(1, 2, 3, 0.75), edges[1]], [(1, 2, 5, 0.5), edges[1]], [(1, 9, 3, 0.5), edges[1]], [(9, 2, 3, 0.5), edges[1]]):
+        assert got(records, other)["edges"] != first["edges"]
+
+
+def test_artifacts_are_registered_invalidated_and_reopened_by_their_source(spark):
+    inventory = spark.createDataFrame([("csr", "a", "COMPLETE", "h1"), ("csr", "b", "COMPLETE", "h0"), ("csr", "c", "INVALIDATED", "h1")], "kind string, artifact_id string, state string, source_hash string")
+    new = spark.createDataFrame([("csr", "a", "h1"), ("csr", "b", "h1"), ("csr", "c", "h1"), ("csr", "d", "h1"), ("csr", "e", "h1"), ("csr", "e", "h2"), ("csr", None, "h1")], "kind string, artifact_id string, source_hash string")
+    got = {x["artifact_id"]: x["outcome"] for x in mutations.register(inventory, new).collect()}
+    assert got == {"a": "UNCHANGED", "b": "CONFLICT", "c": "REGISTERED", "d": "REGISTERED", "e": "CONFLICT"}
+    after = mutations.invalidate(inventory, spark.createDataFrame([("csr", "b"), ("other", "a")], "kind string, artifact_id string"))
+    assert sorted((x["artifact_id"], x["state"]) for x in after.collect()) == [("a", "COMPLETE"), ("b", "INVALIDATED"), ("c", "INVALIDATED")]
+    assert [x["artifact_id"] for x in mutations.reopenable(after, "h1").collect()] == ["a"]
+    assert mutations.reopenable(after, "h2").count() == 0
+
+
+def test_a_vector_put_compares_bits(spark):
+    had = spark.createDataFrame([(1, [0.0, 1.0], 1), (2, [2.0], 3)], "record_id long, vec array<float>, generation long")
+    new = spark.createDataFrame([(1, [-0.0, 1.0]), (2, [2.0]), (3, [1.0])], "record_id long, vec array<float>")
+    assert {x["record_id"]: (x["outcome"], x["generation"]) for x in vectors.put(had, new).collect()} == {1: ("UPDATED", 2), 2: ("UNCHANGED", 3), 3: ("INSERTED", 1)}

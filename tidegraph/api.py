@@ -51,21 +51,24 @@ class Database:
 
     def state(self, upto: int | None = None) -> DataFrame:
         """Everything that exists after commit ``upto`` (the last one): a pinned view, as logs and states never change."""
+        return self._folded(upto).filter("NOT is_deleted").select("commit", *KEYS, "node_id", "payload")
+
+    def _folded(self, upto: int | None = None) -> DataFrame:
+        """The same with tombstones and the key of each row."""
         states = [s for s in self._commits("state") if upto is None or s <= upto]
         logs = [c for c in self._commits("log") if c > (states[-1] if states else 0) and (upto is None or c <= upto)]
         empty = self.spark.createDataFrame([], CHANGES)
         changes = self.spark.read.schema(CHANGES).parquet(*[self._at("log", f"{c:012d}") for c in logs]) if logs else empty
         named = lambda df: df.withColumn("key", F.to_json(F.struct(*KEYS)))
         fields = [*KEYS, "node_id", "payload"]
-        base = named(self.spark.read.parquet(self._at("state", f"{states[-1]:012d}"))) if states else None
-        got = changefeed.fold(named(changes), ["key"], ["commit"], F.col("op") == "DELETE", fields, base)
-        return got.filter("NOT is_deleted").select("commit", *fields)
+        base = self.spark.read.parquet(self._at("state", f"{states[-1]:012d}")) if states else None
+        return changefeed.fold(named(changes), ["key"], ["commit"], F.col("op") == "DELETE", fields, base)
 
     def checkpoint(self) -> int:
-        """Writes the state after the last commit; later reads start from it."""
+        """Writes the state after the last commit, tombstones included; later reads start from it."""
         commits = self._commits("log")
         if commits and commits[-1] not in self._commits("state"):
-            self.state().write.parquet(self._at("state", f"{commits[-1]:012d}"))
+            self._folded().write.parquet(self._at("state", f"{commits[-1]:012d}"))
         return commits[-1] if commits else 0
 
     def records(self, upto: int | None = None) -> DataFrame:

@@ -9,6 +9,10 @@ from tidegraph.functions.hashing import state_digest
 from tidegraph.operators.wave import ranked
 
 
+RECORD_CONTENT = ("record_id", "node_id", "payload")
+EDGE_CONTENT = ("src", "dst", "edge_type", "weight", "weight_million")
+
+
 def batch_status(batch: DataFrame, keys: list[str], content: list[str]) -> DataFrame:
     """Per key of a batch: DUPLICATE if all its rows are equal and more than one, CONFLICT if they differ, else SINGLE."""
     digest = F.xxhash64(*content)
@@ -42,9 +46,36 @@ def listing(records: DataFrame) -> DataFrame:
 
 
 def snapshot(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row a relation: name, n_rows and a digest of its content that doesn't depend on order."""
-    a = state_digest(records, ["record_id", "node_id"]).withColumn("relation", F.lit("records"))
-    return a.unionByName(state_digest(edges, ["src", "dst", "edge_type"]).withColumn("relation", F.lit("edges")))
+    """One row a relation: name, n_rows and a digest of its content that doesn't depend on order.
+
+    Every content column that is there counts: ids, nodes and payloads of records; ends, types and weights of edges.
+    """
+    a = state_digest(records, [c for c in RECORD_CONTENT if c in records.columns]).withColumn("relation", F.lit("records"))
+    return a.unionByName(state_digest(edges, [c for c in EDGE_CONTENT if c in edges.columns]).withColumn("relation", F.lit("edges")))
+
+
+def register(inventory: DataFrame, artifacts: DataFrame) -> DataFrame:
+    """Each artifact of ``artifacts`` (kind, artifact_id, source_hash) with its ``outcome`` against the inventory: REGISTERED
+    if it is new or was invalidated, UNCHANGED if it stands there with the same source, CONFLICT if with another or if
+    ``artifacts`` itself names it with two sources. Null kinds or ids name nothing and are left out."""
+    per = artifacts.dropna(subset=["kind", "artifact_id"]).groupBy("kind", "artifact_id").agg(F.min("source_hash").alias("source_hash"), F.max("source_hash").alias("__other"))
+    had = inventory.select("kind", "artifact_id", F.col("state").alias("__state"), F.col("source_hash").alias("__had"))
+    new = F.col("__state").isNull() | (F.col("__state") == "INVALIDATED")
+    outcome = F.when(~F.col("source_hash").eqNullSafe(F.col("__other")), "CONFLICT").when(new, "REGISTERED")
+    outcome = outcome.when(F.col("__had").eqNullSafe(F.col("source_hash")), "UNCHANGED").otherwise("CONFLICT")
+    return per.join(had, ["kind", "artifact_id"], "left").select("kind", "artifact_id", "source_hash", outcome.alias("outcome"))
+
+
+def invalidate(inventory: DataFrame, gone: DataFrame) -> DataFrame:
+    """The inventory with the artifacts that ``gone`` (kind, artifact_id) names set to INVALIDATED."""
+    marks = gone.select("kind", "artifact_id").distinct().withColumn("__gone", F.lit(True))
+    rows = inventory.join(marks, ["kind", "artifact_id"], "left")
+    return rows.withColumn("state", F.when(F.col("__gone"), "INVALIDATED").otherwise(F.col("state"))).select(*inventory.columns)
+
+
+def reopenable(inventory: DataFrame, snapshot_hash: str) -> DataFrame:
+    """The artifacts that may be opened again as they are: complete, and made from this very snapshot."""
+    return checked_inventory(inventory, snapshot_hash).filter("standing = 'COMPATIBLE'").drop("standing")
 
 
 def checked_inventory(inventory: DataFrame, snapshot_hash: str) -> DataFrame:

@@ -41,10 +41,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def put(vectors: DataFrame, new: DataFrame) -> DataFrame:
-    """Effect of putting ``new`` (record_id, vec): outcome INSERTED, UPDATED or UNCHANGED (equal parts), and the generation."""
+    """Effect of putting ``new`` (record_id, vec): outcome INSERTED, UPDATED or UNCHANGED, and the generation.
+
+    Unchanged are parts that are written alike: -0.0 isn't 0.0 here, and NaN is NaN."""
     had = vectors.select("record_id", F.col("vec").alias("had"), F.col("generation").alias("g"))
     rows = new.join(had, "record_id", "left")
-    outcome = F.when(F.col("had").isNull(), "INSERTED").when(F.col("had").eqNullSafe(F.col("vec")), "UNCHANGED").otherwise("UPDATED")
+    outcome = F.when(F.col("had").isNull(), "INSERTED").when(F.col("had").cast("string").eqNullSafe(F.col("vec").cast("string")), "UNCHANGED").otherwise("UPDATED")
     return rows.select("record_id", "vec", outcome.alias("outcome"), (F.coalesce("g", F.lit(0)) + F.when(outcome == "UNCHANGED", 0).otherwise(1)).cast("long").alias("generation"))
 
 
