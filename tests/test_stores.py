@@ -264,3 +264,16 @@ def test_a_vector_put_compares_bits(spark):
     had = spark.createDataFrame([(1, [0.0, 1.0], 1), (2, [2.0], 3)], "record_id long, vec array<float>, generation long")
     new = spark.createDataFrame([(1, [-0.0, 1.0]), (2, [2.0]), (3, [1.0])], "record_id long, vec array<float>")
     assert {x["record_id"]: (x["outcome"], x["generation"]) for x in vectors.put(had, new).collect()} == {1: ("UPDATED", 2), 2: ("UNCHANGED", 3), 3: ("INSERTED", 1)}
+
+
+def test_pair_cosines_equal_the_scoped_search(spark, monkeypatch):
+    r = random.Random(12)
+    vecs = [(i, [r.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4 if i % 5 else 3)] if i % 7 else None) for i in range(40)]
+    v = spark.createDataFrame(vecs, "record_id long, vec array<double>")
+    q = v.select(F.col("record_id").alias("query_id"), "vec")
+    pairs = spark.createDataFrame([(a, b) for a in range(41) for b in range(0, 41, 3)], "query_id long, id long")
+    want = {(x["query_id"], x["id"]): x["similarity"] for x in vectors.search(v, q, 1000, allowed=pairs).collect()}
+    for block in (4096, 0):
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        got = {(x["query_id"], x["id"]): x["whole"] for x in vectors.pair_cosines(pairs, q, v, {"whole": None, "head": 2}).collect()}
+        assert {k: c for k, c in got.items() if c is not None} == want

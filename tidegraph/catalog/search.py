@@ -87,13 +87,12 @@ def topological_query(spark: SparkSession, d: str) -> DataFrame:
 
 def _hybrid(spark: SparkSession, d: str, weights: hybrid.Weights) -> DataFrame:
     s = cut(scope(spark, d))
-    allowed = s.select(F.col("anchor").alias("query_id"), F.col("record_id").alias("id"))
+    pairs = s.select(F.col("anchor").alias("query_id"), F.col("record_id").alias("id"))
     own = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
-    external = vectors.search(own, own.select(F.col("vec_id").alias("query_id"), "vec"), 1 << 30, "vec_id", allowed=allowed)
-    first = own.select("vec_id", F.slice("vec", 1, 8).alias("vec"))
-    native = vectors.search(first, first.select(F.col("vec_id").alias("query_id"), "vec"), 1 << 30, "vec_id", allowed=allowed)
-    named = lambda x: x.select(F.col("query_id").alias("anchor"), F.col("id").alias("record_id"), "similarity")
-    rows = hybrid.fuse(s, named(external), named(native), customer_trust(spark, d), 10, weights, hybrid.trusted("ANY"))
+    anchors = own.select(F.col("vec_id").alias("query_id"), "vec").join(pairs.select("query_id").distinct(), "query_id", "left_semi")
+    both = cut(vectors.pair_cosines(pairs, anchors, own, {"external": None, "native": 8}, "vec_id"))
+    named = lambda c: both.filter(F.col(c).isNotNull()).select(F.col("query_id").alias("anchor"), F.col("id").alias("record_id"), F.col(c).alias("similarity"))
+    rows = hybrid.fuse(s, named("external"), named("native"), customer_trust(spark, d), 10, weights, hybrid.trusted("ANY"))
     return rows.select("anchor", "record_id", F.round("score", 9).alias("score"), "maturity", "validity", "rank")
 
 

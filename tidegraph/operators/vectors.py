@@ -98,6 +98,36 @@ def _nearest(qids: np.ndarray, qs: np.ndarray, ids: np.ndarray, vs: np.ndarray,
     return pd.DataFrame({"query_id": qids[row[keep]], "id": ids[col[keep]], "similarity": exact[keep]})
 
 
+def pair_cosines(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, heads: dict[str, int | None], vec_id: str = "record_id", vec: str = "vec") -> DataFrame:
+    """(query_id, id, a column for each head): cosines of given pairs (query_id, id), each over the first parts that its head
+    names (None: all). A pair of a vector that is missing, or of two dimensions, is left out; a head in which a vector has
+    no length is null.
+
+    The pairs meet the vectors first and take them along alone; query vectors are broadcast while they are counted to be
+    few. All heads come out of one pass over batches, added up in the order of the parts.
+    """
+    kinds = dict(pairs.dtypes)
+    q = queries.select("query_id", F.col("vec").alias("__q")).filter("__q IS NOT NULL")
+    if q.count() <= QUERY_BLOCK:
+        q = F.broadcast(q)
+    rows = pairs.select("query_id", "id").join(vectors.select(F.col(vec_id).alias("id"), F.col(vec).alias("__v")), "id").join(q, "query_id")
+    rows = rows.filter(F.size("__q") == F.size("__v")).select("query_id", "id", "__q", "__v")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["__v"].map(len)):
+                a, b = (np.array(part[c].tolist(), np.float64) for c in ("__q", "__v"))
+                out = part[["query_id", "id"]].copy()
+                for name, n in heads.items():
+                    x, y = a[:, :n], b[:, :n]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cos = _in_order(x, y) / (np.sqrt(_in_order(x, x)) * np.sqrt(_in_order(y, y)))
+                    out[name] = pd.Series(cos, out.index).where(np.isfinite(cos), None)
+                yield out
+
+    return rows.mapInPandas(run, ", ".join([f"query_id {kinds['query_id']}", f"id {kinds['id']}", *[f"{h} double" for h in heads]]))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "record_id", vec: str = "vec", same: bool = True, allowed: DataFrame | None = None) -> DataFrame:
     """(query_id, id, similarity, rank): the ``k`` vectors nearest to each query (query_id, vec) by exact cosine, similarity
     descending and id ascending. Vectors that are null, zero or of another dimension match nothing; nor do such queries.
