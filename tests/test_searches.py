@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from tidegraph.operators import wave
+from tidegraph.operators import subgraph, wave
+from tidegraph.operators.bestfirst import Rows, Search
 
 SCHEMA = "src long, dst long, edge_type int, weight double"
 MASK = (1, 3, 4, 5)
@@ -27,3 +28,12 @@ def test_merged_wave_takes_no_more_than_each_seeds_first_rows(graph, seeds):
     every = wave.best_first(graph, seeds, 3, 0.05, None, MASK)
     want = [tuple(r) for r in wave.merged_best(every, 6).orderBy("rank").collect()]
     assert want and [tuple(r) for r in wave.merged_wave(graph, seeds, 3, 0.05, 6, MASK).orderBy("rank").collect()] == want
+
+
+def test_compressed_rows_give_the_rows_of_each_seeds_own_search(graph, seeds):
+    """Held rows are searched in numpy, those of a seed by a heap: first rows, paths and lengths agree."""
+    for top_k in (4, None):
+        held, own = (sorted(map(tuple, wave.best_first(graph, seeds, 3, 0.05, top_k, MASK, kernel_edges=n).collect())) for n in (1000, 0))
+        assert held and held == own
+    search = Search(Rows.of(*wave.columns(graph), frozenset(MASK)), 3, 0.05, {t: 0.9 for t in MASK}, 1.0)
+    assert len(search.run(0)[0]) > 1 and len(search.run(99)[0]) == 0
