@@ -37,3 +37,16 @@ def test_compressed_rows_give_the_rows_of_each_seeds_own_search(graph, seeds):
         assert held and held == own
     search = Search(Rows.of(*wave.columns(graph), frozenset(MASK)), 3, 0.05, {t: 0.9 for t in MASK}, 1.0)
     assert len(search.run(0)[0]) > 1 and len(search.run(99)[0]) == 0
+
+
+def test_chosen_rows_are_the_first_of_an_order_besides_those_always_wanted(graph, seeds):
+    every = wave.best_first(graph, seeds, 3, 0.05, None, MASK).collect()
+    always = graph.sparkSession.createDataFrame([(2,), (11,)], "node_id long")
+    for order in (("energy", "node"), ("node",)):
+        want = set()
+        for seed in (0, 3, 7):
+            mine = sorted((r for r in every if r["seed"] == seed and 1 <= r["node_id"] < 13), key=lambda r: [{"energy": -r["energy"], "node": r["node_id"]}[o] for o in order])
+            want |= {(seed, r["node_id"]) for r in mine if r["node_id"] in (2, 11)} | {(seed, r["node_id"]) for r in [r for r in mine if r["node_id"] not in (2, 11)][:3]}
+        for n in (1000, 0):
+            got = wave.best_first(graph, seeds, 3, 0.05, 3, MASK, kernel_edges=n, order=order, among=(1, 13), always=always)
+            assert {(r["seed"], r["node_id"]) for r in got.collect()} == want

@@ -68,10 +68,12 @@ def semantic_trusted(spark: SparkSession, d: str) -> DataFrame:
     return got.select("query_id", "id", F.round("similarity", 9).alias("similarity"), "rank")
 
 
-def scope(spark: SparkSession, d: str) -> DataFrame:
-    """Customers that a wave from every hundredth customer reaches through nations."""
-    rows = wave.best_first(order_edges(spark, d, {4, 8, 10}), order_seeds(spark, d), 6, 0.2, None, (4, 8))
-    rows = rows.filter((F.col("node_id") >= CUSTOMERS) & (F.col("node_id") < CUSTOMERS + SPACE) & (F.col("seed") != F.col("node_id")))
+def scope(spark: SparkSession, d: str, k: int, order: tuple[str, ...] = ("energy", "node"), among: DataFrame | None = None, always: DataFrame | None = None) -> DataFrame:
+    """Customers that a wave from every hundredth customer reaches through nations: of those in ``among``, the first ``k``
+    per anchor by ``order`` besides those in ``always``, which is all that a ranking of ``k`` by this order can use."""
+    every = (CUSTOMERS, CUSTOMERS + SPACE)
+    rows = wave.best_first(order_edges(spark, d, {4, 8, 10}), order_seeds(spark, d), 6, 0.2, k + 1, (4, 8), order=order, among=among or every, always=always)
+    rows = rows.filter((F.col("node_id") >= every[0]) & (F.col("node_id") < every[1]) & (F.col("seed") != F.col("node_id")))
     return rows.select((F.col("seed") - CUSTOMERS).alias("anchor"), (F.col("node_id") - CUSTOMERS).alias("record_id"), "node_id", "energy")
 
 
@@ -81,14 +83,17 @@ def customer_trust(spark: SparkSession, d: str) -> DataFrame:
 
 def topological_query(spark: SparkSession, d: str) -> DataFrame:
     """Ten records per anchor by wave energy, of those known to be hypotheses at least."""
-    rows = hybrid.topological(scope(spark, d), customer_trust(spark, d), 10, hybrid.trusted("MATURITY_AT_LEAST", "HYPOTHESIS"), "exclude")
+    states, trust = cut(customer_trust(spark, d)), hybrid.trusted("MATURITY_AT_LEAST", "HYPOTHESIS")
+    known = states.filter(trust).select((F.col("record_id") + CUSTOMERS).alias("node_id"))
+    rows = hybrid.topological(scope(spark, d, 10, among=known), states, 10, trust, "exclude")
     return rows.select("anchor", "record_id", "energy", "maturity", "rank")
 
 
 def _hybrid(spark: SparkSession, d: str, weights: hybrid.Weights) -> DataFrame:
-    s = cut(scope(spark, d))
-    pairs = s.select(F.col("anchor").alias("query_id"), F.col("record_id").alias("id"))
+    """Records without a vector score by their wave alone, or all nothing where it has no weight, so ten of them are enough."""
     own = table(spark, d, "embeddings").select(F.col("vec_id"), F.col("embedding").alias("vec"))
+    s = cut(scope(spark, d, 10, ("energy", "node") if weights.wave else ("node",), always=own.select((F.col("vec_id") + CUSTOMERS).alias("node_id"))))
+    pairs = s.select(F.col("anchor").alias("query_id"), F.col("record_id").alias("id"))
     anchors = own.select(F.col("vec_id").alias("query_id"), "vec").join(pairs.select("query_id").distinct(), "query_id", "left_semi")
     both = cut(vectors.pair_cosines(pairs, anchors, own, {"external": None, "native": 8}, "vec_id"))
     named = lambda c: both.filter(F.col(c).isNotNull()).select(F.col("query_id").alias("anchor"), F.col("id").alias("record_id"), F.col(c).alias("similarity"))
