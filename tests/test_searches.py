@@ -50,3 +50,8 @@ def test_chosen_rows_are_the_first_of_an_order_besides_those_always_wanted(graph
         for n in (1000, 0):
             got = wave.best_first(graph, seeds, 3, 0.05, 3, MASK, kernel_edges=n, order=order, among=(1, 13), always=always)
             assert {(r["seed"], r["node_id"]) for r in got.collect()} == want
+
+
+def test_grow_takes_more_edges_than_a_worker_holds(graph, seeds):
+    got = [sorted(map(tuple, subgraph.grow(graph, seeds, 3, 0.05, 5, MASK, kernel_edges=n).collect())) for n in (1000, 0)]
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) == 4
