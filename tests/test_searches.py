@@ -55,3 +55,12 @@ def test_chosen_rows_are_the_first_of_an_order_besides_those_always_wanted(graph
 def test_grow_takes_more_edges_than_a_worker_holds(graph, seeds):
     got = [sorted(map(tuple, subgraph.grow(graph, seeds, 3, 0.05, 5, MASK, kernel_edges=n).collect())) for n in (1000, 0)]
     assert got[0] == got[1] and len({r[0] for r in got[0]}) == 4
+
+
+def test_nodes_added_up_in_tasks_equal_those_of_all_rows(graph, seeds):
+    want, _ = subgraph.of_waves(wave.best_first(graph, seeds, 3, 0.05, None, MASK), graph)
+    for n in (1000, 0):
+        assert sorted(map(tuple, wave.reached(graph, seeds, 3, 0.05, MASK, kernel_edges=n).collect())) == sorted(map(tuple, want.collect()))
+    nodes, inner = subgraph.around(graph, seeds, 3, 0.05, MASK)
+    ids = {r["node_id"] for r in nodes.collect()}
+    assert sorted(map(tuple, inner.select(graph.columns).collect())) == sorted(tuple(r) for r in graph.collect() if r["src"] in ids and r["dst"] in ids)
