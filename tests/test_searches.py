@@ -64,3 +64,8 @@ def test_nodes_added_up_in_tasks_equal_those_of_all_rows(graph, seeds):
     nodes, inner = subgraph.around(graph, seeds, 3, 0.05, MASK)
     ids = {r["node_id"] for r in nodes.collect()}
     assert sorted(map(tuple, inner.select(graph.columns).collect())) == sorted(tuple(r) for r in graph.collect() if r["src"] in ids and r["dst"] in ids)
+
+
+def test_counters_agree_with_each_seeds_own_search(graph, seeds):
+    held, own = (sorted(map(tuple, wave.best_first(graph, seeds, 2, 0.1, 3, MASK, stats=True, kernel_edges=n).collect())) for n in (1000, 0))
+    assert held == own and sum(r[4] for r in held) > 0
