@@ -69,3 +69,34 @@ def test_nodes_added_up_in_tasks_equal_those_of_all_rows(graph, seeds):
 def test_counters_agree_with_each_seeds_own_search(graph, seeds):
     held, own = (sorted(map(tuple, wave.best_first(graph, seeds, 2, 0.1, 3, MASK, stats=True, kernel_edges=n).collect())) for n in (1000, 0))
     assert held == own and sum(r[4] for r in held) > 0
+
+
+def found(graph, seeds, n):
+    """Rows, counters and nodes of searches over no more than ``n`` edges held by a worker."""
+    rows = wave.best_first(graph, seeds, 3, 0.05, 4, MASK, kernel_edges=n)
+    stats = wave.best_first(graph, seeds, 2, 0.1, 3, MASK, stats=True, kernel_edges=n)
+    nodes = wave.reached(graph, seeds, 3, 0.05, MASK, kernel_edges=n)
+    return [sorted(map(tuple, x.collect())) for x in (rows, stats, nodes)]
+
+
+def test_more_edges_than_a_worker_holds_are_mapped_not_joined_with_seeds(graph, seeds, monkeypatch):
+    held = found(graph, seeds, 1000)
+
+    def fail(*_, **__):
+        raise AssertionError("each seed got its own edges")
+
+    monkeypatch.setattr(wave, "hop_levels", fail)
+    assert all(held) and found(graph, seeds, 0) == held
+
+
+def test_mapped_rows_equal_held_ones(graph):
+    for mask in (frozenset(MASK), frozenset({9})):
+        held = Rows.of(*wave.columns(graph), mask, True)
+        mapped = Rows.mapped(wave.written(graph, mask, True), 0.9, True)
+        assert all((getattr(held, c) == getattr(mapped, c)).all() and len(getattr(held, c)) == len(getattr(mapped, c)) for c in ("nodes", "first", "dst", "kind", "weight", "masked", "blocked"))
+
+
+def test_each_seed_gets_its_own_edges_where_no_folder_can_be_mapped(graph, seeds, monkeypatch):
+    held = found(graph, seeds, 1000)
+    monkeypatch.setattr(wave, "shared_path", lambda spark: None)
+    assert found(graph, seeds, 0) == held
