@@ -100,3 +100,16 @@ def test_each_seed_gets_its_own_edges_where_no_folder_can_be_mapped(graph, seeds
     held = found(graph, seeds, 1000)
     monkeypatch.setattr(wave, "shared_path", lambda spark: None)
     assert found(graph, seeds, 0) == held
+
+
+def test_scope_of_a_large_graph_is_mapped_not_joined_with_anchors(graph, seeds, monkeypatch):
+    records = seeds.sparkSession.createDataFrame([(f"r{i}", i) for i in range(15)], "record_id string, node_id long")
+    scope = lambda: sorted(map(tuple, wave.wave_scope(graph, records, seeds, 3, 0.05, 4, MASK).collect()))
+    held = scope()
+
+    def fail(*_, **__):
+        raise AssertionError("each anchor got its own edges")
+
+    monkeypatch.setattr(wave, "hop_levels", fail)
+    monkeypatch.setattr(wave, "BROADCAST_EDGES", 0)
+    assert held and scope() == held
