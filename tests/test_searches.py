@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegraph.operators import subgraph, wave
 from tidegraph.operators.bestfirst import Rows, Search
+from tidegraph.plans.lineage import cut, cut_by
 
 SCHEMA = "src long, dst long, edge_type int, weight double"
 MASK = (1, 3, 4, 5)
@@ -113,3 +116,36 @@ def test_scope_of_a_large_graph_is_mapped_not_joined_with_anchors(graph, seeds,
     monkeypatch.setattr(wave, "hop_levels", fail)
     monkeypatch.setattr(wave, "BROADCAST_EDGES", 0)
     assert held and scope() == held
+
+
+def test_more_edges_than_a_worker_holds_are_not_kept_hop_by_hop_before_they_are_mapped(graph, seeds, monkeypatch):
+    held = found(graph, seeds, 1000)
+
+    def fail(*_, **__):
+        raise AssertionError("edges in reach were kept besides the mapped ones")
+
+    monkeypatch.setattr(wave, "reachable", fail)
+    assert all(held) and found(graph, seeds, 0) == held
+
+
+def test_what_is_kept_leaves_no_shuffle_files(spark):
+    """Each kept step would hold its shuffle on disk until the driver collects its garbage."""
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+        names = set()
+        while blocks.hasNext():
+            name = blocks.next().getName()
+            if name.startswith("shuffle_"):
+                names.add(name)
+        return names
+
+    rows = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    for keep in (cut, lambda df: cut_by(df, "k")):
+        before = shuffles()
+        kept, until = keep(rows), time.monotonic() + 20
+        while shuffles() - before and time.monotonic() < until:
+            time.sleep(0.2)
+        assert not shuffles() - before
+        assert sorted(map(tuple, kept.collect())) == [(k, 10) for k in range(100)]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
