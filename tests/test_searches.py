@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegraph.operators import subgraph, wave
 from tidegraph.operators.bestfirst import Rows, Search
 from tidegraph.plans.lineage import cut, cut_by
+from tidegraph.sources.graph import durable_records
 
 SCHEMA = "src long, dst long, edge_type int, weight double"
 MASK = (1, 3, 4, 5)
@@ -149,3 +150,21 @@ def test_what_is_kept_leaves_no_shuffle_files(spark):
         assert not shuffles() - before
         assert sorted(map(tuple, kept.collect())) == [(k, 10) for k in range(100)]
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_types_of_direct_edges_are_looked_up_for_few_rows_without_shuffling_edges(graph, seeds, monkeypatch):
+    records = seeds.sparkSession.createDataFrame([(f"r{i}", i) for i in range(15)], "record_id string, node_id long")
+    scope = lambda: wave.wave_scope(graph, records, seeds, 3, 0.05, 4, MASK)
+    few = scope()
+    joins = [line for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftSemi" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    got = sorted(map(tuple, few.collect()))
+    assert any(r[5] for r in got) and any(r[6] for r in got)
+    monkeypatch.setattr(wave, "BROADCAST_NODES", 0)
+    assert sorted(map(tuple, scope().collect())) == got
+
+
+def test_records_without_payloads_are_the_same(spark):
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, durable_records(spark, d).select("record_id", "logical_id", "node_id").collect()), key=str)
+    assert want and sorted(map(tuple, durable_records(spark, d, ("logical_id", "node_id")).collect()), key=str) == want
