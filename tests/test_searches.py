@@ -5,13 +5,16 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.operators import subgraph, wave
+from tidegraph.catalog import graph as queries
+from tidegraph.operators import bestfirst, subgraph, wave
 from tidegraph.operators.bestfirst import Rows, Search
 from tidegraph.plans.lineage import cut, cut_by
 from tidegraph.sources.graph import durable_records
+from tidegraph.sources.tables import table
 
 SCHEMA = "src long, dst long, edge_type int, weight double"
 MASK = (1, 3, 4, 5)
@@ -168,3 +171,32 @@ def test_records_without_payloads_are_the_same(spark):
     d = "/root/testdata/sf0.001"
     want = sorted(map(tuple, durable_records(spark, d).select("record_id", "logical_id", "node_id").collect()), key=str)
     assert want and sorted(map(tuple, durable_records(spark, d, ("logical_id", "node_id")).collect()), key=str) == want
+
+
+def receipts_seeds(spark, d="/root/testdata/sf0.001"):
+    return {n for r in table(spark, d, "wave_query_receipt").collect() for n in r["seed_nodes"] or () if n is not None and n >= 0}
+
+
+def test_topk_searches_from_the_seeds_of_every_receipt(spark):
+    want = receipts_seeds(spark)
+    got = queries.best_first_topk(spark, "/root/testdata/sf0.001").collect()
+    assert want and {r["seed"] for r in got} == want
+
+
+def test_searches_for_first_rows_give_those_of_whole_searches(monkeypatch):
+    """Ties, hubs, repeated targets and step limits: what is dropped on the way never was a first row."""
+    monkeypatch.setattr(bestfirst, "HUB", 4)
+    r, att = np.random.default_rng(7), {t: 0.5 + t / 20 for t in MASK}
+    for steps, weights in ((3, [0.25, 0.5, 0.8, 1.0]), (6, np.arange(1, 500) / 500), (4, [0.9])):
+        src, dst, kind, weight = r.zipf(1.4, 3000) % 80, r.integers(0, 80, 3000), r.choice([*MASK, 10], 3000, p=[0.24] * 4 + [0.04]), r.choice(weights, 3000)
+        rows = bestfirst.Rows.of(src, dst, kind, weight, frozenset(MASK))
+        for most in (1, 3, 10):
+            whole, first = (Search(rows, steps, 0.05, att, 1.0) for _ in range(2))
+            for seed in range(80):
+                some = []
+                for s, n in ((whole, None), (first, most)):
+                    at, _ = s.run(seed, n)
+                    at = at[bestfirst.chosen(rows.nodes[at], bestfirst.rounded(s.best[at]), s.depth[at], most, ("energy", "length", "node"), None, None)]
+                    some.append([x.tolist() for x in (at, bestfirst.rounded(s.best[at]), s.depth[at], *s.paths(at))])
+                assert some[0] == some[1]
+            assert first.firsts
