@@ -200,3 +200,32 @@ def test_searches_for_first_rows_give_those_of_whole_searches(monkeypatch):
                     some.append([x.tolist() for x in (at, bestfirst.rounded(s.best[at]), s.depth[at], *s.paths(at))])
                 assert some[0] == some[1]
             assert first.firsts
+
+
+def test_subgraphs_are_grown_around_the_seeds_of_every_receipt(spark):
+    want = receipts_seeds(spark)
+    got = queries.floating_subgraph(spark, "/root/testdata/sf0.001").collect()
+    assert want and {r["root"] for r in got} == want and len(got) == len(want) and not any(r["problem"] for r in got)
+
+
+def test_streams_of_edges_looked_up_equal_those_of_joined_ones(graph, seeds, monkeypatch):
+    monkeypatch.setattr(subgraph, "BATCH_EDGES", 3)
+    nodes = subgraph.grow(graph, seeds, 3, 0.05, 5, MASK)
+    some = graph.union(graph.limit(20)).union(graph.sparkSession.createDataFrame([(99, 99, 1, 0.5), (None, 3, 1, 0.5)], SCHEMA))
+    for edges in (some, some.limit(0)):
+        held, joined = (sorted(map(tuple, subgraph.export(nodes, edges, n).collect())) for n in (1000, -1))
+        assert len(held) == 4 and held == joined
+
+
+def test_growing_leaves_out_edges_of_hubs_without_losing_nodes(monkeypatch):
+    r, att = np.random.default_rng(3), np.array([0.5 + t / 20 for t in range(10)])
+    src, dst, kind, weight = r.zipf(1.4, 3000) % 80, r.integers(0, 80, 3000), r.choice(MASK, 3000), r.choice([0.25, 0.5, 0.8, 0.31], 3000)
+    rows = bestfirst.Rows.of(src, dst, kind, weight, frozenset(MASK))
+    for top_k in (1, 4, 12):
+        got = []
+        for hub in (4, 10**9):
+            monkeypatch.setattr(subgraph, "HUB", hub)
+            hubs = {}
+            got.append([subgraph._grow(rows, x, 3, 0.05, att, 1.0, top_k, False, hubs) for x in range(80)])
+            assert bool(hubs) == (hub == 4)
+        assert got[0] == got[1]
