@@ -229,3 +229,13 @@ def test_growing_leaves_out_edges_of_hubs_without_losing_nodes(monkeypatch):
             got.append([subgraph._grow(rows, x, 3, 0.05, att, 1.0, top_k, False, hubs) for x in range(80)])
             assert bool(hubs) == (hub == 4)
         assert got[0] == got[1]
+
+
+def test_evidence_is_found_for_the_seeds_of_every_receipt(spark):
+    d = "/root/testdata/sf0.001"
+    edges, records = queries.durable_edges(spark, d), {r["node_id"] for r in durable_records(spark, d, ("logical_id", "node_id")).collect()}
+    seeds = spark.createDataFrame([(n,) for n in receipts_seeds(spark)], "node_id long")
+    rows = wave.best_first(edges, seeds, 3, 0.05, 257, (1, 2, 3, 4, 5)).filter("seed <> node_id").collect()
+    want = {(r["seed"], r["node_id"]) for r in rows if r["node_id"] in records}
+    got = queries.wave_scope_evidence(spark, d).collect()
+    assert want and {(r["anchor"], r["node_id"]) for r in got} == want
